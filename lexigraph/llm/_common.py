@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup of a few fixed-width columns is broadcast (about 32 MB); beyond it, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a lookup of a few fixed-width columns is broadcast (about 25 MB); beyond it, joins shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,10 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for `df`, if it has at most BROADCAST_ROWS rows; else the join shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def lookup(df: DataFrame) -> DataFrame:
+    """`df` as a table of its own, broadcast if it has at most BROADCAST_ROWS rows.
 
-
-def partition_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    A larger one is joined by a shuffle of its own, whose hot keys AQE can split.
+    """
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

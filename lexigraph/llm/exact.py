@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, ascii_lower, checkpointed
+from ._common import BROADCAST_ROWS, ascii_lower, checkpointed, lookup
 
 PREFIX_CHARS = 64
 
@@ -47,7 +47,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     groups = rows.where(F.col("_full").isNotNull()).groupBy("_len", "_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
     # Rows without a digest get a key of their own: a shared null would send them all to one task.
     spread = F.coalesce(F.col("_full"), F.concat(F.lit("-"), F.col("_prefix").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
-    out = rows.withColumn("_full", spread).join(groups, ["_len", "_full"], "left")
+    out = rows.withColumn("_full", spread).join(lookup(groups), ["_len", "_full"], "left")
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return out.select(
         F.col("_id").alias(id_col),

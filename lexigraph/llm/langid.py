@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Bounds of the sample from which the dictionaries are made: languages, documents and bytes of each, characters of a document.
 MAX_LANGS, SAMPLE_DOCS, DICT_BYTES, SAMPLE_CHARS = 256, 400, 112_000, 20_000
-LEVEL = 3
+LEVEL = 9
 LETTER = re.compile(r"[^\W\d_]")
 LEARNED = "doc_id long, lang_pred string, score double, margin double"
 
