@@ -133,7 +133,7 @@ def target_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(good.limit(TARGET_DOCS)), "doc_id", "left_semi")
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int = 23) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float = 0.8, seed: int = 23) -> DataFrame:
     """One row per document: ``doc_id, n_features, log_weight, gumbel_key, selected``.
 
     A null or empty text has weight 0 in logarithm. Without a good label the target model is
