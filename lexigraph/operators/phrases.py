@@ -40,12 +40,17 @@ def find_phrases(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", te
     else:
         tokens = F.transform(tokens, lambda t: F.struct(t["normal"].alias("normal"), t["x"].alias("x"), t["y"].alias("y"), line.alias("line")))
     texts = texts.select(id_col, F.filter(tokens, lambda t: t["normal"] != "").alias("w")).withColumn("words", F.col("w.normal"))
-    sizes = F.least(F.lit(KEY), F.size("words") - F.col("pos"))
-    starts = texts.select(id_col, "w", "words", F.posexplode("words").alias("pos", "first"))
-    keyed = starts.select(id_col, "w", "words", "pos", F.explode(F.transform(F.sequence(F.lit(1), sizes), lambda k: F.array_join(F.slice("words", F.col("pos") + 1, k), " "))).alias("key"))
+    # Only (id, place, key) goes through the join; documents with a hit are then compared whole.
+    # Arrays are shifted and zipped once per document, since a lambda would evaluate them again for each place.
+    shifted = [F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))).alias(f"w{k}") for k in range(KEY)]
+    runs = texts.where(F.size("words") > 0).select(id_col, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "r"))
+    starts = [F.array_join(F.array(*[F.col("r")[f"w{j}"] for j in range(k)]), " ") for k in range(1, KEY + 1)]
+    whole = [F.when(F.col("r")[f"w{k}"].isNotNull(), s) for k, s in enumerate(starts)]
+    keyed = runs.select(id_col, "pos", F.explode(F.array(*whole)).alias("key")).where("key IS NOT NULL")
     if phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
         phrases = F.broadcast(phrases)
-    hits = keyed.join(phrases.withColumnRenamed("words", "phrase"), "key").where(F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("phrase"))
+    hits = keyed.join(phrases.withColumnRenamed("words", "phrase"), "key").select(id_col, "pos", "n", "term", "phrase")
+    hits = hits.join(texts, id_col).where(F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("phrase"))
     first, last = F.col("w")[F.col("pos")], F.col("w")[F.col("pos") + F.col("n") - 1]
     hits = hits.where(first["line"] == last["line"]).select(id_col, F.struct((-F.col("n")).alias("rank"), "pos", "n", "term", first["x"].alias("x"), last["y"].alias("y")).alias("h"))
     ranked = hits.groupBy(id_col).agg(F.array_sort(F.collect_list("h")).alias("hits"))

@@ -17,6 +17,7 @@ from ..functions.lazy import column_function
 from ..functions.text import split_commas
 from ..sources.rdf import OWL, RDF, RDFS, SKOS
 from .graph import blank_values, closure, flattened, has_blanks, local, normal, predicate_key, predicate_map, schema_of, trimmed
+from .storage import checkpointed
 
 META = ["NamedIndividual", "Thing", "Class", "Ontology", "ObjectProperty", "DatatypeProperty", "AnnotationProperty"]
 CUSTOM = ["effects", "requires", "similarTo", "implies", "uses"]
@@ -70,9 +71,9 @@ def lookup_of(forward: DataFrame) -> DataFrame:
     on those, and then a test.
     """
     entries = forward.select(F.explode(_entries("canon", "variants")).alias("e")).select(F.col("e.n").alias("words"), F.col("e.text").alias("entry")).distinct()
-    groups = {n: entries.where(F.col("words") == n).select("entry") for n in range(1, 7)}
+    entries = checkpointed(entries)
     for n in (5, 4, 3, 2):
-        source = groups[n + 1].withColumn("w", F.split("entry", " "))
+        source = entries.where(F.col("words") == n + 1).withColumn("w", F.split("entry", " "))
         gram = F.slice("w", 1, n)
         grams = source.where(~F.arrays_overlap(gram, F.array(*map(F.lit, sorted(vocabulary.GRAM_STOPS))))).select(F.array_join(gram, " ").alias("gram"), gram.alias("g")).distinct()
         if n > 2:
@@ -85,13 +86,10 @@ def lookup_of(forward: DataFrame) -> DataFrame:
             probes = F.array_distinct(F.array(beside(F.col("w"), 1), beside(F.col("w"), 2)))
         hits = source.select("entry", F.explode(probes).alias("key")).join(grams, "key").where(F.col("entry").contains(F.col("gram")))
         made = hits.select(F.replace("entry", "gram", F.replace("gram", F.lit(" "), F.lit("_"))).alias("entry"))
-        made = made.withColumn("words", F.size(F.split("entry", " "))).where("words BETWEEN 2 AND 5").distinct()
-        for k in range(2, n + 1):
-            groups[k] = groups[k].union(made.where(F.col("words") == k).select("entry")).distinct()
-    out = entries.where("words > 6")
-    for n, g in groups.items():
-        out = out.union(g.select(F.lit(n).alias("words"), "entry"))
-    return out
+        made = made.select(F.size(F.split("entry", " ")).alias("words"), "entry").where("words BETWEEN 2 AND 5")
+        # A round reads the one before it twice, so each is written down.
+        entries = checkpointed(entries.union(made).distinct()) if n > 2 else entries.union(made).distinct()
+    return entries
 
 
 def rules_of(raw: DataFrame, distance: int = 4, plus_only: bool = False, comma_lists: bool = False) -> DataFrame:
