@@ -122,7 +122,7 @@ def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore",
 
 def term_matcher(spark, terms: Sequence[str], line_breaks: str = "ignore") -> Callable[[Column], Column]:
     """A column function that finds a constant list of terms; its index is broadcast."""
-    held, boundary = spark.sparkContext.broadcast(TermIndex(terms)), _boundary(line_breaks)
+    held, boundary = spark.sparkContext.broadcast(TermIndex(terms, strict=False)), _boundary(line_breaks)
 
     @F.arrow_udf(f"array<{MATCH}>")
     def find(text: pa.Array) -> pa.Array:
@@ -144,11 +144,18 @@ def match_terms(text: pa.Array, terms: pa.Array) -> pa.Array:
         if key not in indexes:
             if len(indexes) > 1000:
                 indexes.clear()
-            indexes[key] = TermIndex(own)
+            indexes[key] = TermIndex(own, strict=False)
         out.append(indexes[key].find(t))
     return _list_of(out, [("term", pa.int32()), ("x", pa.int32()), ("y", pa.int32())])
 
 
+@column_function(F.arrow_udf, "array<struct<words:array<string>,alias:boolean,length:int>>")
+def term_phrases(term: pa.Array) -> pa.Array:
+    """The word runs that match a term without plus signs: itself, without its final mark, with points apart."""
+    rows = [None if t is None else TermIndex([t], strict=False).phrases() for t in term.to_pylist()]
+    return _list_of(rows, [("words", pa.list_(pa.string())), ("alias", pa.bool_()), ("length", pa.int32())])
+
+
 def _boundary(line_breaks: str) -> bool:
     if line_breaks not in ("ignore", "boundary"):
         raise EngineError(2, "line_breaks must be ignore or boundary")

@@ -6,24 +6,24 @@ most KEY rows per token, however long the phrases are. The vocabulary may be lar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.udfs import tokenize
+from ..functions.udfs import term_phrases, tokenize
 
 KEY = 3
 #: A vocabulary of this many phrases or fewer is broadcast.
 BROADCAST_PHRASES = 100_000
 
 
-def words_of(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: t["normal"] != "")
-
-
 def phrase_table(terms: DataFrame, id_col: str = "term", text_col: str = "text") -> DataFrame:
-    """(term, words, n, key): distinct readings of terms; of equal ones, the smallest id stands."""
-    rows = terms.select(F.col(id_col).alias("term"), F.transform(words_of(tokenize(F.col(text_col))), lambda t: t["normal"]).alias("words")).where(F.size("words") > 0)
-    rows = rows.groupBy("words").agg(F.min("term").alias("term"))
+    """(term, words, n, key): the word runs that match terms without plus signs.
+
+    Of terms with an equal run, one that is written so comes before one that only reads so (without its
+    accents, say), then the longer, then the smaller id.
+    """
+    rows = terms.select(F.col(id_col).alias("term"), F.explode(term_phrases(F.col(text_col))).alias("p"))
+    rows = rows.groupBy("p.words").agg(F.min_by("term", F.struct("p.alias", -F.col("p.length"), "term")).alias("term"))
     return rows.select("term", "words", F.size("words").alias("n"), F.array_join(F.slice("words", 1, KEY), " ").alias("key"))
 
 

@@ -24,9 +24,13 @@ def _reading(term: str) -> tuple[str, list[str]]:
 
 
 class TermIndex:
-    """An index of terms. A canonical form holds a space, which no word of a text does, so that matches never feed each other."""
+    """An index of terms. A canonical form holds a space, which no word of a text does, so that matches never feed each other.
 
-    def __init__(self, terms: Sequence[str]):
+    A form from which two final marks were cut has no canonical form, and a text with it is an error; if not
+    `strict`, such forms are left out, so that one text cannot fail a batch.
+    """
+
+    def __init__(self, terms: Sequence[str], strict: bool = True):
         raw: dict[str, list[str]] = {}
         self.first: dict[str, int] = {}
         seen: set[str] = set()
@@ -42,6 +46,9 @@ class TermIndex:
         forward = vocabulary.synonyms(raw)
         placed = {f"P{i}": v for i, v in enumerate(forward.values())}
         lookup = {n: [x for x in g if x not in placed] for n, g in vocabulary.lookup(placed).items()}
+        if not strict:
+            known = set(vocabulary.reverse(forward))
+            lookup = {n: [x for x in g if x in known] for n, g in lookup.items()}
         spaced = lambda s: not set(fold(s)).isdisjoint(SPACES)
         spans = {k: [r for r in rules if not any(map(spaced, r["content"]))] for k, rules in vocabulary.spans(raw, plus_only=True).items() if not spaced(k)}
         self.index = MatchIndex(lookup, forward, vocabulary.reverse(forward), {k: r for k, r in spans.items() if r}) if raw else None
@@ -54,6 +61,20 @@ class TermIndex:
         return [(self.first[t.canon], t.x, t.y) for t in nodes if t.type and t.canon in self.first]
 
 
+    def phrases(self) -> list[tuple[list[str], bool, int]]:
+        """Word runs that are matches, whether each is the spelling of tokens of another form, and that form's length."""
+        if self.index is None:
+            return []
+        out = []
+        for n, own in self.index.words.items():
+            for text in own:
+                words = text.split(" ")
+                if len(words) == n and all(words) and fold(norm(text)) == text:
+                    source = self.index.aliases.get(text)
+                    out.append((words, source is not None, len(source or text)))
+        return out
+
+
 def match_terms(text: str, terms: Sequence[str], line_breaks: str = "ignore") -> list[tuple[int, int, int]]:
     if not isinstance(text, str):
         raise EngineError(2, "match_terms requires string text")

@@ -19,3 +19,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written there, which cuts its plan and outlives executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out to all cores if it comes in fewer partitions, as one small file does; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,6 +13,7 @@ from .operators import finder as Q
 from .operators.phrases import find_phrases, phrase_table
 from .plans import graph
 from .plans.ontology import Ontology, apply_update
+from .plans.storage import spread
 from .plans.views import Views
 from .plans.vocabularies import CAT, CAT_SQL, GEO, GEO_SQL, catalogue, geography
 from .sources.rdf import OWL, RDFS, SKOS
@@ -37,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, in as many partitions as there are cores at least: kernels cost far more than dealing the rows out."""
+    return spread(table(spark, sf_dir, name))
+
+
 def geo(spark: SparkSession, sf_dir: str) -> Views:
     return Views(geography(spark, sf_dir), namespace=GEO)
 
@@ -329,7 +335,7 @@ DOC_TOKENS = TOKENS.format(id="doc_id", table="documents")
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tokenize(F.col("text"))).alias("t")).select("doc_id", "t.*")
+    return texts(spark, sf_dir).select("doc_id", F.explode(tokenize(F.col("text"))).alias("t")).select("doc_id", "t.*")
 
 
 @query("WITH " + DOC_TOKENS + " SELECT doc_id, x, y, text, normal FROM tokens")
@@ -339,7 +345,7 @@ def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + TOKENS.format(id="conv_id, turn", table="conversations") + " SELECT conv_id, turn, count(*) AS n, count(*) FILTER (WHERE normal = '') AS spaces, max(y) AS last FROM tokens GROUP BY ALL")
 def tokenize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(tokenize(F.col("text"))).alias("t"))
+    t = texts(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(tokenize(F.col("text"))).alias("t"))
     return t.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.count_if(F.col("t.normal") == "").alias("spaces"), F.max("t.y").alias("last"))
 
 
@@ -389,14 +395,14 @@ COUNTS = PASSAGES + "SELECT doc_id, CAST(item_id AS INT) AS term, CAST((length(n
 @query(COUNTS)
 def match_terms_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     find = term_matcher(spark, benchmark_terms(spark, sf_dir))
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(find(F.col("text"))).alias("m"))
+    found = texts(spark, sf_dir).select("doc_id", F.explode(find(F.col("text"))).alias("m"))
     return found.groupBy("doc_id", F.col("m.term").alias("term")).agg(F.count("*").alias("n"))
 
 
 @query(COUNTS)
 def match_phrases_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("term"), "text")
-    found = find_phrases(table(spark, sf_dir, "documents"), phrase_table(terms))
+    found = find_phrases(texts(spark, sf_dir), phrase_table(terms))
     return found.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
@@ -405,7 +411,7 @@ def match_phrases_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_terms_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.array(*map(F.lit, ("the", "les", "und", "los", "The")))
-    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(match_terms(F.col("text"), terms)).alias("m"))
+    found = texts(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(match_terms(F.col("text"), terms)).alias("m"))
     return found.select("conv_id", "turn", "m.*")
 
 
@@ -424,7 +430,7 @@ ENTITIES = "WITH " + DOC_TOKENS + ", " + WORDS + " SELECT doc_id, 'c_' || w AS c
 
 def _entities(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     parse = parser(spark, word_ontology(spark, sf_dir).index, entities_only=True, **options)
-    nodes = table(spark, sf_dir, "documents").select("doc_id", F.explode(parse(F.col("text"))["nodes"]).alias("n"))
+    nodes = texts(spark, sf_dir).select("doc_id", F.explode(parse(F.col("text"))["nodes"]).alias("n"))
     return nodes.select("doc_id", "n.canon", "n.x", "n.y")
 
 
@@ -442,7 +448,7 @@ def source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + TOKENS.format(id="conv_id, turn", table="conversations") + ", " + WORDS + " SELECT conv_id, turn, string_agg(CASE WHEN w IS NOT NULL THEN 'c_' || w ELSE trim(text) END, ' ' ORDER BY x, y) AS text FROM tokens LEFT JOIN vw ON w = normal WHERE normal <> '' GROUP BY ALL")
 def render(spark: SparkSession, sf_dir: str) -> DataFrame:
     parse = parser(spark, word_ontology(spark, sf_dir).index)
-    parsed = table(spark, sf_dir, "conversations").select("conv_id", "turn", parse(F.col("text"))["nodes"].alias("n")).where("size(n) > 0")
+    parsed = texts(spark, sf_dir, "conversations").select("conv_id", "turn", parse(F.col("text"))["nodes"].alias("n")).where("size(n) > 0")
     return parsed.select("conv_id", "turn", rendered(F.filter("n", lambda t: (t["normal"] != "") | t["type"].isNotNull())).alias("text")).where("text <> ''")
 
 
@@ -469,7 +475,7 @@ def _folder(path: str) -> str:
 
 
 # A rule of two words, at most four places apart in any order.
-RULE = ("ouwhea", "rend")
+RULE = ("attion", "thanedble")
 SPANNED = (
     "WITH " + DOC_TOKENS + ", vis AS (SELECT doc_id, x, y, normal, line, row_number() OVER (PARTITION BY doc_id ORDER BY x) AS pos FROM (SELECT *, sum(CASE WHEN contains(text, chr(10)) AND normal = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x, y) AS line FROM tokens) WHERE normal <> ''), "
     f"a AS (SELECT * FROM vis WHERE normal = '{RULE[0]}'), b AS (SELECT * FROM vis WHERE normal = '{RULE[1]}'), "
@@ -485,7 +491,7 @@ def _span_ontology(spark: SparkSession) -> Ontology:
 def _spans(spark: SparkSession, sf_dir: str, line_breaks: str) -> DataFrame:
     """Documents with a match of the rule, and the first place of one."""
     parse = parser(spark, _span_ontology(spark).index, line_breaks=line_breaks, entities_only=True)
-    nodes = table(spark, sf_dir, "documents").select("doc_id", F.explode(parse(F.col("text"))["nodes"]).alias("n"))
+    nodes = texts(spark, sf_dir).select("doc_id", F.explode(parse(F.col("text"))["nodes"]).alias("n"))
     return nodes.groupBy("doc_id").agg(F.min(F.least(F.col("n.y") - F.col("n.x"), F.lit(1))).alias("found"))
 
 
@@ -503,4 +509,4 @@ def line_break_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tokens cover: every character of every document."""
     size = F.aggregate(tokenize(F.col("text")), F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]))
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.sum(size).alias("characters"))
+    return texts(spark, sf_dir).agg(F.count("*").alias("documents"), F.sum(size).alias("characters"))
