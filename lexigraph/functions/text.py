@@ -114,14 +114,28 @@ def murmur64a(data: bytes, seed: int = 1) -> int:
 class Piece(NamedTuple):
     text: str
     normal: str
-    hash: int
-    lone: bool  # it is one apostrophe
-    quoted: bool  # it is a word that ends in an apostrophe
+    mark: int  # 0, or LONE: it is one apostrophe, or QUOTED: it is a word that ends in an apostrophe
+
+
+LONE, QUOTED = 1, 2
 
 
 def _piece(text: str) -> Piece:
+    if text.isascii() and "'" not in text and "`" not in text:
+        return Piece(text, text.lower(), 0)
     base = JOINER.sub("", text)
-    return Piece(text, normal_form(text), murmur64a(text.encode("utf-8", "surrogatepass")), len(base) == 1 and base in APOSTROPHE_SET, ENDS_QUOTED.match(base) is not None)
+    return Piece(text, normal_form(text), LONE if len(base) == 1 and base in APOSTROPHE_SET else QUOTED if ENDS_QUOTED.match(base) else 0)
+
+
+@lru_cache(1 << 17)
+def _word_hash(text: str) -> int:
+    return murmur64a(text.encode("utf-8", "surrogatepass"))
+
+
+def token_id(text: str, position: int) -> str:
+    """The hash of a token's text without the space that a word keeps, and its position."""
+    word = text[:-1] if len(text) > 1 and text[-1] == " " and text[0] not in SPACE_SET and not JOINER.match(text[0]) else text
+    return f"{_word_hash(word)}#{position}"
 
 
 def _edges(piece: str) -> list[str]:
@@ -148,6 +162,11 @@ def _bare(word: str) -> list[str]:
 @lru_cache(1 << 18)
 def word_pieces(word: str) -> tuple[Piece, ...]:
     """Pieces of a run of characters other than white space; joiners stay with what they follow."""
+    if word.isalpha() and max(word) < "ʰ":  # Latin letters, none of them an apostrophe or a mark
+        return (Piece(word, word.lower() if word.isascii() else fold(word.lower()), 0),)
+    stem, end = word[:-1], word[-1]
+    if end in ".,;:!?|" and stem.isalpha() and max(stem) < "ʰ":
+        return Piece(stem, stem.lower() if stem.isascii() else fold(stem.lower()), 0), Piece(end, end, 0)
     base = JOINER.sub("", word)
     if len(base) == len(word):
         return tuple(map(_piece, _bare(word)))
@@ -184,38 +203,57 @@ def _closed(piece: Piece) -> tuple[Piece, Piece]:
     return _piece(piece.text[:cut]), _piece(piece.text[cut:])
 
 
-def tokenize(text: str | None) -> list[Token]:
-    """Tokens whose texts concatenate to `text`; x and y are code points, and y leaves out white space at the end."""
-    parts: list[Piece | str] = []
+def scan(text: str | None) -> tuple[list[str], list[int], list[int], list[str]]:
+    """Texts, starts, ends and normal forms of the tokens of `text`, as `tokenize` gives them."""
+    parts: list = []
+    marked = False
     for m in RUN.finditer(text or ""):
         if m[1] is not None:
             parts.append(m[1])
         else:
-            parts += word_pieces(m[0])
-    singles, last, first = 0, -1, -1
-    for i, p in enumerate(parts):
+            own = word_pieces(m[0])
+            parts += own
+            marked = marked or own[0].mark or own[-1].mark or any(p.mark for p in own)
+    if marked:
+        singles, last, first = 0, -1, -1
+        for i, p in enumerate(parts):
+            if type(p) is Piece:
+                if p.mark == LONE:
+                    singles, last = singles + 1, i
+                elif p.mark == QUOTED and first < 0:
+                    first = i
+        if first >= 0 and singles % 2 and last < first:
+            parts[first : first + 1] = _closed(parts[first])
+    texts, xs, ys, normals = [], [], [], []
+    at, word = 0, False
+    for p in parts:
         if type(p) is Piece:
-            if p.lone:
-                singles, last = singles + 1, i
-            elif p.quoted and first < 0:
-                first = i
-    if first >= 0 and singles % 2 and last < first:
-        parts[first : first + 1] = _closed(parts[first])
-    out: list[Token] = []
-    at = 0
-    n = len(parts)
-    for i, p in enumerate(parts):
-        if type(p) is Piece:
-            length = len(p.text)
-            spaced = i + 1 < n and type(parts[i + 1]) is str and parts[i + 1][0] == " "
-            out.append(Token(f"{p.hash}#{len(out)}", p.text + " " if spaced else p.text, at, at + length, p.normal))
-            at += length + spaced
-        else:
-            rest = p[1:] if i and type(parts[i - 1]) is Piece and p[0] == " " else p
-            if rest:
-                out.append(Token(f"{murmur64a(rest.encode('utf-8', 'surrogatepass'))}#{len(out)}", rest, at, at + len(rest.rstrip(SPACES)), normal_form(rest)))
-                at += len(rest)
-    return out
+            length = len(p[0])
+            texts.append(p[0])
+            xs.append(at)
+            at += length
+            ys.append(at)
+            normals.append(p[1])
+            word = True
+            continue
+        if word and p[0] == " ":
+            texts[-1] += " "
+            at += 1
+            p = p[1:]
+        word = False
+        if p:
+            texts.append(p)
+            xs.append(at)
+            ys.append(at + len(p.rstrip(SPACES)))
+            normals.append("" if p.isspace() else normal_form(p))
+            at += len(p)
+    return texts, xs, ys, normals
+
+
+def tokenize(text: str | None) -> list[Token]:
+    """Tokens whose texts concatenate to `text`; x and y are code points, and y leaves out white space at the end."""
+    texts, xs, ys, normals = scan(text)
+    return [Token(token_id(t, i), t, x, y, n) for i, (t, x, y, n) in enumerate(zip(texts, xs, ys, normals, strict=True))]
 
 
 PLAIN = re.compile(r"(?!_| )(?:[a-zA-Z0-9]|_(?! |\Z)| (?! |_|\Z))*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..operators.matching import MatchIndex, Node, from_token, match, render, restore
+from ..operators.matching import MatchIndex, Node, parse, render
 from ..operators.terms import TermIndex
 from . import text as T
 from .lazy import column_function
@@ -68,9 +68,41 @@ def murmur64(c: Column) -> Column:
     return _hash(c)
 
 
+def _scanned(text: pa.Array) -> tuple[list[int], list[list]]:
+    """Where the tokens of each row end, and the columns of all tokens: texts, starts, ends, normal forms."""
+    ends, columns = [0], [[], [], [], []]
+    for t in text.to_pylist():
+        own = T.scan(t)
+        for into, more in zip(columns, own, strict=True):
+            into += more
+        ends.append(len(columns[0]))
+    return ends, columns
+
+
 @column_function(F.arrow_udf, f"array<{TOKEN}>")
 def tokenize(text: pa.Array) -> pa.Array:
-    return _list_of([None if t is None else T.tokenize(t) for t in text.to_pylist()], _TOKEN_TYPES)
+    ends, (texts, xs, ys, normals) = _scanned(text)
+    ids = [T.token_id(texts[k], k - a) for a, b in zip(ends, ends[1:], strict=False) for k in range(a, b)]
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip((ids, texts, xs, ys, normals), _TOKEN_TYPES, strict=True)], names=[n for n, _ in _TOKEN_TYPES])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=text.is_null())
+
+
+@column_function(F.arrow_udf, "struct<words:array<string>,x:array<int>,y:array<int>,line:array<int>>")
+def visible(text: pa.Array) -> pa.Array:
+    """Normal forms and offsets of the tokens that take a place in phrases, and the number of line breaks before each."""
+    ends, columns = [0], [[], [], [], []]
+    for t in text.to_pylist():
+        line = 0
+        for piece, x, y, normal in zip(*T.scan(t), strict=True):
+            if normal:
+                for into, v in zip(columns, (normal, x, y, line), strict=True):
+                    into.append(v)
+            elif not set(piece).isdisjoint(T.LINE_BREAKS):
+                line += 1
+        ends.append(len(columns[0]))
+    cuts = pa.array(ends, pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(c, t)) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+    return pa.StructArray.from_arrays(lists, names=["words", "x", "y", "line"])
 
 
 def flat_nodes(nodes: Sequence[Node]) -> list[tuple]:
@@ -86,7 +118,7 @@ def flat_nodes(nodes: Sequence[Node]) -> list[tuple]:
 
 
 def parse_text(index: MatchIndex, text: str, ctr: int = 0, boundary: bool = False) -> list[Node]:
-    return [restore(t, text) for t in match(index, [from_token(t) for t in T.tokenize(text)], ctr, boundary)]
+    return parse(index, text, ctr, boundary)
 
 
 def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore", entities_only: bool = False, failfast: bool = False) -> Callable[[Column], Column]:
@@ -97,7 +129,7 @@ def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore",
     held, boundary = spark.sparkContext.broadcast(index), _boundary(line_breaks)
 
     @F.arrow_udf(PARSED)
-    def parse(text: pa.Array) -> pa.Array:
+    def run(text: pa.Array) -> pa.Array:
         nodes, texts, errors = [], [], []
         for t in text.to_pylist():
             try:
@@ -117,7 +149,7 @@ def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore",
             [_list_of(nodes, _NODE_TYPES), pa.array(texts, pa.string()), pa.array(errors, pa.struct([("code", pa.int32()), ("message", pa.string())]))], names=["nodes", "text", "error"]
         )
 
-    return parse
+    return run
 
 
 def term_matcher(spark, terms: Sequence[str], line_breaks: str = "ignore") -> Callable[[Column], Column]:

@@ -9,20 +9,20 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from ..errors import EngineError
-from ..functions.text import JOINER, LINE_BREAKS, SPACES, Token, alias, by_length, fold, norm, trim
+from ..functions.text import JOINER, LINE_BREAKS, SPACES, Token, alias, by_length, fold, norm, scan, token_id, trim
 
 OPERATIONS, COMBINATIONS, DEPTH = 100_000, 1_000_000, 256
 _BREAKS = frozenset(LINE_BREAKS)
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Node:
     """A token, or an entity made of nodes."""
 
-    id: str
+    key: str | int  # the id, or the position from which it is made when asked for
     text: str
     x: int
     y: int
@@ -32,8 +32,14 @@ class Node:
     type: str | None = None
     confidence: float | None = None
     ontologies: list[str] | None = None
-    tokens: list[Node] = field(default_factory=list)
-    extra: dict = field(default_factory=dict)
+    tokens: list[Node] | tuple = ()
+    extra: dict | None = None
+
+    @property
+    def id(self) -> str:
+        if type(self.key) is not int:
+            return self.key
+        return self.tokens[0].id if self.tokens else token_id(self.text, self.key)
 
     @property
     def spacing(self) -> bool:
@@ -47,7 +53,7 @@ class Node:
         return self.spacing and not _BREAKS.isdisjoint(self.text)
 
     def as_json(self) -> dict:
-        out = {"id": self.id, "text": self.text, "x": self.x, "y": self.y, "normal": self.normal} | self.extra
+        out = {"id": self.id, "text": self.text, "x": self.x, "y": self.y, "normal": self.normal} | (self.extra or {})
         if self.type:
             out |= {"ner": self.ner, "swaps": {"tokens": [t.as_json() for t in self.tokens], "canon": self.canon, "type": self.type, "ontologies": self.ontologies, "confidence": self.confidence}}
         return out
@@ -57,6 +63,10 @@ def from_token(t: Token) -> Node:
     return Node(t.id, t.text, t.x, t.y, t.normal)
 
 
+def from_text(text: str) -> list[Node]:
+    return [Node(i, *t) for i, t in enumerate(zip(*scan(text), strict=True))]
+
+
 def from_json(t: Mapping) -> Node:
     """A node from a prepared token; fields that matching does not know are kept."""
     numeric = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
@@ -111,6 +121,8 @@ class MatchIndex:
             self._add_rules(key, rules)
         for own in self.rules.values():
             own.sort(key=lambda r: r.origin.encode())  # stable: rules of a key keep their order
+        #: Words with which a phrase or the key of a rule begins: a text without one has no match.
+        self.heads = frozenset(text.partition(" ")[0] for own in self.words.values() for text in own) | self.rules.keys()
         self.rule_words = {w for key, own in self.rules.items() for r in own for w in (key, *r.content, *r.context)}
         self.entities: dict[str, str] = {}
         for e in entities:
@@ -161,7 +173,7 @@ class MatchIndex:
 
 def collapse(run: list[Node], canon: str, kind: str, ner: str | None, confidence: float, names: list[str]) -> Node:
     text = " ".join(trim(t.text) for t in run)
-    return Node(run[0].id, text, run[0].x, run[-1].y, canon, ner.upper() if ner else ner, canon, kind, confidence, list(names), run)
+    return Node(run[0].key, text, run[0].x, run[-1].y, canon, ner.upper() if ner else ner, canon, kind, confidence, list(names), run)
 
 
 def _window_text(normals: list[str]) -> str:
@@ -181,6 +193,7 @@ def exact(index: MatchIndex, nodes: list[Node], boundary: bool = False) -> list[
     spacing = [t.spacing for t in nodes]
     stop = [boundary and t.breaks for t in nodes]
     words, starts = index.words, index.starts
+    single = words.get(1, ())
 
     def window(i: int) -> tuple[int, int]:
         """(words, end) of the longest phrase that starts at node i."""
@@ -208,8 +221,10 @@ def exact(index: MatchIndex, nodes: list[Node], boundary: bool = False) -> list[
         if found[i][0]:
             heapq.heappush(heap, (-found[i][0], i))
 
-    for i in range(n):
-        look(i)
+    for i, t in enumerate(nodes):
+        # Most tokens begin no phrase; those in plain ASCII are told by one lookup.
+        if t.normal in starts or t.normal in single or not t.normal.isascii() or not t.normal.islower() or " " in t.normal:
+            look(i)
     operations = 0
     while heap:
         size, i = heapq.heappop(heap)
@@ -348,10 +363,10 @@ def spans(index: MatchIndex, nodes: list[Node], boundary: bool = False, frozen:
 
 
 def _surface(t: Node) -> list[str]:
-    out = {t.normal, *(t.extra.get("ancestors") or ()), *(t.extra.get("descendants") or ())}
+    out = {t.normal, *((t.extra or {}).get("ancestors") or ()), *((t.extra or {}).get("descendants") or ())}
     for u in t.tokens:
-        out.update(u.extra.get("ancestors") or ())
-        out.update(u.extra.get("descendants") or ())
+        out.update((u.extra or {}).get("ancestors") or ())
+        out.update((u.extra or {}).get("descendants") or ())
     return sorted(out, key=str.encode)
 
 
@@ -398,6 +413,14 @@ def hierarchy(index: MatchIndex, nodes: list[Node], boundary: bool = False) -> l
     return nodes
 
 
+def parse(index: MatchIndex, text: str, ctr: int = 0, boundary: bool = False) -> list[Node]:
+    """The nodes of a text; entities are spelt as in it."""
+    nodes = from_text(text)
+    if index.heads.isdisjoint(t.normal for t in nodes):
+        return nodes
+    return [restore(t, text) for t in match(index, nodes, ctr, boundary)]
+
+
 def match(index: MatchIndex, nodes: list[Node], ctr: int = 0, boundary: bool = False) -> list[Node]:
     """Sweeps of the three stages: one if ctr is 2 or more, else 3 - ctr."""
     if ctr < -1000:

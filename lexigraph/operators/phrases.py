@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.udfs import term_phrases, tokenize
+from ..functions.udfs import term_phrases, visible
 
 KEY = 3
 #: A vocabulary of this many phrases or fewer is broadcast.
@@ -29,30 +29,19 @@ def phrase_table(terms: DataFrame, id_col: str = "term", text_col: str = "text")
 
 def find_phrases(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_breaks: str = "ignore") -> DataFrame:
     """(id_col, term, x, y) of matches that do not overlap: those of most words first, then the leftmost."""
-    texts = docs.select(F.col(id_col), tokenize(F.col(text_col)).alias("t"))
-    line = F.lit(0)
-    tokens = F.col("t")
-    if line_breaks == "boundary":
-        # The number of line breaks before each token, as its line.
-        breaks = F.transform(tokens, lambda t: (t["normal"] == "") & t["text"].rlike("[\\n\\x0b\\x0c\\r\\x85\\u2028\\u2029]"))
-        lined = F.aggregate(breaks, F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("l")), lambda s, b: F.struct((s["k"] + b.cast("int")).alias("k"), F.array_append(s["l"], s["k"] + b.cast("int")).alias("l")), lambda s: s["l"])
-        tokens = F.transform(F.arrays_zip(F.col("t"), lined.alias("l")), lambda z: F.struct(z["t"]["normal"].alias("normal"), z["t"]["x"].alias("x"), z["t"]["y"].alias("y"), z["l"].alias("line")))
-    else:
-        tokens = F.transform(tokens, lambda t: F.struct(t["normal"].alias("normal"), t["x"].alias("x"), t["y"].alias("y"), line.alias("line")))
-    texts = texts.select(id_col, F.filter(tokens, lambda t: t["normal"] != "").alias("w")).withColumn("words", F.col("w.normal"))
+    texts = docs.select(F.col(id_col), visible(F.col(text_col)).alias("w")).select(id_col, "w.*").where(F.size("words") > 0)
     # Only (id, place, key) goes through the join; documents with a hit are then compared whole.
-    # Arrays are shifted and zipped once per document, since a lambda would evaluate them again for each place.
-    shifted = [F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))).alias(f"w{k}") for k in range(KEY)]
-    runs = texts.where(F.size("words") > 0).select(id_col, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "r"))
-    starts = [F.array_join(F.array(*[F.col("r")[f"w{j}"] for j in range(k)]), " ") for k in range(1, KEY + 1)]
-    whole = [F.when(F.col("r")[f"w{k}"].isNotNull(), s) for k, s in enumerate(starts)]
-    keyed = runs.select(id_col, "pos", F.explode(F.array(*whole)).alias("key")).where("key IS NOT NULL")
+    n_words = F.size("words")
+    keys = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), n_words - i)), lambda k: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, k), " ").alias("key")))
+    keyed = texts.select(id_col, F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n_words - 1), keys))).alias("k")).select(id_col, "k.pos", "k.key")
     if phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
         phrases = F.broadcast(phrases)
     hits = keyed.join(phrases.withColumnRenamed("words", "phrase"), "key").select(id_col, "pos", "n", "term", "phrase")
     hits = hits.join(texts, id_col).where(F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("phrase"))
-    first, last = F.col("w")[F.col("pos")], F.col("w")[F.col("pos") + F.col("n") - 1]
-    hits = hits.where(first["line"] == last["line"]).select(id_col, F.struct((-F.col("n")).alias("rank"), "pos", "n", "term", first["x"].alias("x"), last["y"].alias("y")).alias("h"))
+    last = F.col("pos") + F.col("n") - 1
+    if line_breaks == "boundary":
+        hits = hits.where(F.col("line")[F.col("pos")] == F.col("line")[last])
+    hits = hits.select(id_col, F.struct((-F.col("n")).alias("rank"), "pos", "n", "term", F.col("x")[F.col("pos")].alias("x"), F.col("y")[last].alias("y")).alias("h"))
     ranked = hits.groupBy(id_col).agg(F.array_sort(F.collect_list("h")).alias("hits"))
     apart = lambda a, b: (a["pos"] + a["n"] <= b["pos"]) | (b["pos"] + b["n"] <= a["pos"])
     chosen = F.aggregate("hits", F.slice("hits", 1, 0), lambda took, h: F.when(F.forall(took, lambda t: apart(t, h)), F.array_append(took, h)).otherwise(took))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from ..errors import EngineError
 from ..functions import vocabulary
 from ..functions.text import PLUS, SPACES, fold, norm, plus_parts, plus_text, tokenize
-from .matching import MatchIndex, from_token, match
+from .matching import MatchIndex, from_text, match
 
 
 def _words(text: str) -> list[str]:
@@ -57,7 +57,10 @@ class TermIndex:
         """(term, x, y) of top-level matches, in the order of the text; of equal terms, the first is named."""
         if self.index is None or not text:
             return []
-        nodes = match(self.index, [from_token(t) for t in tokenize(text)], 0, boundary)
+        nodes = from_text(text)
+        if self.index.heads.isdisjoint(t.normal for t in nodes):
+            return []
+        nodes = match(self.index, nodes, 0, boundary)
         return [(self.first[t.canon], t.x, t.y) for t in nodes if t.type and t.canon in self.first]
 
 
