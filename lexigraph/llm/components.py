@@ -20,10 +20,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     pairs, before = checkpointed(pairs), None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are tables of their own, so that the joins have shuffles of their own, whose hot keys AQE can split.
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # A node's own minimum replaces its edges; ends of the old edges are linked to that minimum.
-        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(large)
+        nearest = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(nearest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(nearest).distinct()
         pairs = checkpointed(small)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, lookup
 from .components import components
 from .words import BASE, buffers, counted, hashed, mix, shingles, slices
 
@@ -122,7 +122,7 @@ def in_blocks(rows: DataFrame, key: str) -> DataFrame:
     blocks by a hash of the id; each row goes to the n tasks that pair its block with another.
     """
     sizes = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).cast("int").alias("_n")).where("_n > 1")
-    cut = rows.join(sizes, key, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    cut = rows.join(lookup(sizes), key, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     cut = cut.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     cut = cut.select("*", F.least("side", "_p").alias("lo"), F.greatest("side", "_p").alias("hi")).drop("_n", "_p", "size")
     return cut.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "id")
