@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import lookup
+
 #: Shorter units recur by chance and are never removed.
 MIN_WORDS = 5
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
@@ -73,8 +75,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = units(df, id_col, text_col, unit, min_words)
     first = found.groupBy("high", "low").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Only digests that recur come to the join; AQE splits a frequent one.
-    later = found.join(first, ["high", "low"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
+    # Only digests that recur come to the join; they are a table of its own, so that AQE can split a frequent one.
+    later = found.join(lookup(first), ["high", "low"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
     by_doc = later.select("id", "start", "end").distinct().groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(by_doc, F.col("_id") == F.col("id"), "left").select("_id", "text", "removed")
