@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpointed
+from ._common import checkpointed, lookup
 from .components import components
 from .minhash import groups
 
@@ -191,7 +191,7 @@ def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, see
     placed = classes.select("id", "copies", "vector").mapInArrow(place, "id long, copies long, vector binary, leaves array<long>")
     entries = placed.withColumn("leaf", F.explode("leaves"))
     sizes = entries.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n")).where("_n > 1")
-    entries = entries.join(sizes, "leaf", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    entries = entries.join(lookup(sizes), "leaf", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     entries = entries.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     entries = entries.select("leaf", F.least("side", "_p").alias("lo"), F.greatest("side", "_p").alias("hi"), "side", "id", "copies", "vector", "leaves")
     entries = entries.repartition("leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi")
