@@ -145,13 +145,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     read. An empty table gives an empty result. Splits are fitted on up to SAMPLE classes, drawn by hash.
     """
     vector = F.col("vector")
+    single = isinstance(df.schema[vector_col].dataType, T.ArrayType) and isinstance(df.schema[vector_col].dataType.elementType, T.FloatType)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(T.ArrayType(T.DoubleType())).alias("vector")).withColumn("vector", F.when(usable(vector), F.transform(vector, lambda v: v + F.lit(0.0))))
     whole = rows.where(vector.isNotNull())
     classes = checkpointed(whole.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.xxhash64("vector", F.lit(seed))))
     dims = [r[0] for r in classes.select(F.size("vector")).distinct().limit(1000).collect()]
     found = None
     for dim in dims:
-        part = forest_links(classes.where(F.size("vector") == dim), dim, threshold, trees, seed)
+        part = forest_links(classes.where(F.size("vector") == dim), dim, threshold, trees, seed, single)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -166,8 +167,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return out.select(F.col("id").alias(id_col), "n_links", F.coalesce("component_id", "id").alias("component_id"), F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
 
 
-def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, seed: int) -> DataFrame:
-    """(a, b, n): edges of spanning forests (n null), and link counts of a class in one leaf (b null)."""
+def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, seed: int, single: bool = False) -> DataFrame:
+    """(a, b, n): edges of spanning forests (n null), and link counts of a class in one leaf (b null).
+
+    Vectors travel as they came, in four bytes a component if they were `single`; they are scaled where they are compared.
+    """
+    kind = np.float32 if single else np.float64
     whole = classes.count()
     drawn = classes if whole <= SAMPLE else classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / whole))
     sample = drawn.select("vector").limit(SAMPLE).toPandas()["vector"]
@@ -180,13 +185,13 @@ def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, see
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim))
-            row, leaf = route(x, held.value, seed)
+            raw = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            row, leaf = route(unit(raw), held.value, seed)
             order = np.lexsort((leaf, row))
             row, leaf = row[order], leaf[order]
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x], pa.binary()), lists], names=["id", "copies", "vector", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary()), lists], names=["id", "copies", "vector", "leaves"])
 
     placed = classes.select("id", "copies", "vector").mapInArrow(place, "id long, copies long, vector binary, leaves array<long>")
     entries = placed.withColumn("leaf", F.explode("leaves"))
@@ -201,7 +206,7 @@ def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, see
             if group.num_rows < 2:
                 continue
             ids, side, copies = (group.column(c).to_numpy() for c in ("id", "side", "copies"))
-            x = np.frombuffer(b"".join(group.column("vector").to_pylist()), np.float64).reshape(group.num_rows, dim)
+            x = unit(np.frombuffer(b"".join(group.column("vector").to_pylist()), kind).astype(float).reshape(group.num_rows, dim))
             lists = group.column("leaves").combine_chunks()
             lengths = lists.value_lengths().to_numpy()
             leaves = np.full((group.num_rows, int(lengths.max())), -1, np.int64)
