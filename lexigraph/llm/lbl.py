@@ -28,7 +28,7 @@ from ._common import checkpointed
 #: Words with a class of their own, classes of other words, and words whose counts are broadcast.
 SINGLE, ENDINGS, HEAD = 767, 256, 65_536
 CLASSES = 1 + SINGLE + ENDINGS
-DIM, NOISE, BATCH, RATE = 24, 64, 4096, 0.08
+DIM, NOISE, BATCH, RATE = 24, 64, 2048, 0.08
 #: A task hands on its word counts when it holds so many distinct words.
 HELD_WORDS = 300_000
 AVERAGERS = 8
@@ -168,7 +168,14 @@ class Model:
 
 
 def scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(at, rows[:, j], CLASSES) for j in range(rows.shape[1])], axis=1)
+    """Sums of `rows` by class: sorted, then added run by run."""
+    out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
+    if len(at):
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        own = at[order]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 def contexts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
