@@ -359,7 +359,7 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", ufold(F.col("text")).alias("folded"), normal_form(F.col("text")).alias("normal"))
 
 
-@query("SELECT doc_id, sum(CASE WHEN list_contains(string_split('" + STOPWORDS + "', ' '), w) THEN 1 ELSE 0 END) AS stops, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY doc_id")
+@query("SELECT doc_id, CAST(sum(CASE WHEN list_contains(string_split('" + STOPWORDS + "', ' '), w) THEN 1 ELSE 0 END) AS BIGINT) AS stops, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY doc_id")
 def stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w"))
     return words.groupBy("doc_id").agg(F.count_if(F.col("w").isin(STOPWORDS.split())).alias("stops"), F.count("*").alias("n"))
@@ -505,7 +505,7 @@ def line_break_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir, "boundary")
 
 
-@query("SELECT count(*) AS documents, sum(length(text)) AS characters FROM documents")
+@query("SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents")
 def flagship_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tokens cover: every character of every document."""
     size = F.aggregate(tokenize(F.col("text")), F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]))
