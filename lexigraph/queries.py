@@ -17,6 +17,7 @@ from .plans.storage import spread
 from .plans.views import Views
 from .plans.vocabularies import CAT, CAT_SQL, GEO, GEO_SQL, catalogue, geography
 from .sources.rdf import OWL, RDFS, SKOS
+from .sources.spark_source import triples_of
 from .streaming.parsing import parse_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +107,52 @@ def schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(graph.schema_of(made(OWL + "NamedIndividual")).select(F.lit("mixed"), "schema")).union(graph.schema_of(made(SKOS + "Concept")).select(F.lit("skos"), "schema"))
 
 
+# Readers.
+
+_STATED = f"SELECT n_nationkey, p, o, o_kind FROM geo JOIN nation ON s = '{GEO}' || n_name WHERE p NOT LIKE '%seeAlso' AND p NOT LIKE '%backwardCompatibleWith'"
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return up.select("n_nationkey", "n_name", F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("label"), F.replace("r_name", F.lit(" "), F.lit("_")).alias("up"))
+
+
+@query(f"WITH {GEO_SQL} {_STATED}")
+def read_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Turtle source for each nation, written and read back."""
+    text = F.concat(F.lit(f"@prefix : <{GEO}> .\n@prefix rdfs: <{RDFS}> . PREFIX o: <{OWL}> PREFIX k: <{SKOS}>\n:"), "n_name", F.lit(' a o:Class ;\n rdfs:label "'), "label", F.lit("\"; k:altLabel 'the territory of "), "label", F.lit("' ; rdfs:subClassOf :"), "up", F.lit(" . # end\n"))
+    return triples_of(_nations(spark, sf_dir).withColumn("text", text), "n_nationkey", "text").select("n_nationkey", "p", "o", "o_kind")
+
+
+@query(f"WITH {GEO_SQL} {_STATED}")
+def read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as one record a line."""
+    record = F.to_json(F.struct(F.col("n_name").alias("id"), F.lit("owl:Class").alias("type"), "label", F.array(F.concat(F.lit("the territory of "), "label")).alias("synonyms"), F.col("up").alias("parents")))
+    text = F.concat(F.lit('{"namespace":"' + GEO + '"}\n'), record)
+    return triples_of(_nations(spark, sf_dir).withColumn("text", text), "n_nationkey", "text", "jsonl").select("n_nationkey", "p", "o", "o_kind")
+
+
+@query(
+    "SELECT p_partkey, unnest(['integer', 'boolean', 'token', 'decimal', 'date']) AS kind, unnest([CAST(p_size AS VARCHAR), CASE WHEN p_size % 2 = 1 THEN 'true' ELSE 'false' END, p_name, CAST(p_size AS VARCHAR) || '.50', ' ' || p_size || ' ']) AS value FROM part"
+)
+def normalize_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    typed = lambda text, kind: F.concat(F.lit(f' <#{kind}> "'), text, F.lit(f'"^^xsd:{kind} '))
+    text = F.concat(
+        F.lit("@prefix xsd: <http://www.w3.org/2001/XMLSchema#> . <#x>"), typed(F.concat(F.lit("+00"), size), "integer"), F.lit(";"), typed((F.col("p_size") % 2).cast("string"), "boolean"), F.lit(";"),
+        typed(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("   ")), F.lit(" ")), "token"), F.lit(";"), typed(F.concat(F.lit("0"), size, F.lit(".50")), "decimal"), F.lit(";"), typed(F.concat(F.lit(" "), size, F.lit(" ")), "date"), F.lit("."),
+    )
+    found = triples_of(table(spark, sf_dir, "part").withColumn("text", text), "p_partkey", "text", "turtle", "http://e/")
+    return found.select("p_partkey", graph.local(F.col("p")).alias("kind"), F.col("o").alias("value"))
+
+
+@query("SELECT p_partkey, 'http://e/a/x/' || p_partkey AS s, 'http://e/a/b/c?q=' || p_partkey AS o FROM part UNION ALL SELECT p_partkey, 'http://e/a/b/c#' || p_size, 'http://' || p_size || '/' FROM part")
+def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("<../y/../x/./"), key, F.lit("> <p> <?q="), key, F.lit("> . <#"), size, F.lit("> <p> <//"), size, F.lit("/> ."))
+    return triples_of(table(spark, sf_dir, "part").withColumn("text", text), "p_partkey", "text", "turtle", "http://e/a/b/c").select("p_partkey", "s", "o")
+
+
 # Views.
 
 register("labels", of_both(lambda v: v.labels.select("key", "label", "ord")), both(f"x AS (SELECT 1) SELECT src, {LOCAL.format('s')} AS key, max_by(o, ord) AS label, min(ord) AS ord FROM t WHERE p = '{RDFS}label' GROUP BY src, s"))
@@ -301,6 +348,15 @@ def transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_both(own)(spark, sf_dir)
 
 
+@query(both(WALK + ", q AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT p_partkey, word, coalesce(string_agg(DISTINCT node, '|' ORDER BY node), '') AS ancestors FROM q LEFT JOIN walk ON src = 'cat' AND root = word GROUP BY ALL"))
+def augment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of part names with the ancestors that a hierarchy match may put in their places."""
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(tokenize(F.col("p_name"))["normal"]).alias("word"))
+    up = walks(cat(spark, sf_dir).by_predicate.where("pk = 'rdfs:subClassOf'").select(F.col("subject").alias("key"), "values"))
+    near = up.groupBy(F.col("root").alias("word")).agg(F.array_join(F.array_sort(F.collect_set("node")), "|").alias("ancestors"))
+    return words.join(near, "word", "left").select("p_partkey", "word", F.coalesce("ancestors", F.lit("")).alias("ancestors"))
+
+
 @query(f"WITH {GEO_SQL} SELECT CASE WHEN starts_with(p, '{RDFS}') THEN 'rdfs' WHEN starts_with(p, '{SKOS}') THEN 'skos' WHEN starts_with(p, '{OWL}') THEN 'owl' ELSE 'rdf' END AS key, split_part(p, '#', -1) AS value FROM geo GROUP BY ALL")
 def owl_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = Ontology.from_triples(geography(spark, sf_dir), {"geo": GEO}, name="geo", interface="owl")

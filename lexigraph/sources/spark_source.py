@@ -58,6 +58,24 @@ def read_triples(spark: SparkSession, paths: str | list[str], format: str | None
     return files.where(F.col("length") <= MAX_BYTES).select("path", "content").mapInArrow(run, f"path string, {SCHEMA}")
 
 
+def triples_of(df: DataFrame, id_col: str, text_col: str, format: str | None = None, base: str = "") -> DataFrame:
+    """(id_col, and the columns of a triples table) of a column of sources; a null source states nothing."""
+
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = Graph() if text is None else reader.read_source(text, format, base)
+                if not isinstance(found, Graph):
+                    raise EngineError(2, "A snapshot is not a source of triples")
+                columns = list(zip(*rows_of(found), strict=True)) or [()] * 9
+                types = [pa.int32(), pa.int64(), *[pa.string()] * 7]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(columns[0]), kind), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["_id", *[x.split()[0] for x in SCHEMA.split(", ")]])
+
+    rows = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string"))
+    kind = pa.string()
+    return rows.mapInArrow(run, f"_id string, {SCHEMA}").withColumn("_id", F.col("_id").cast(df.schema[id_col].dataType)).withColumnRenamed("_id", id_col)
+
+
 class _File(InputPartition):
     def __init__(self, path: str, ordinal: int):
         self.path, self.ordinal = path, ordinal
