@@ -39,7 +39,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sample: dict[str, list] = {k: [] for k in sizes}
     for lang, key, text in drawn.select(lang_col, order.alias("o"), text_col).limit(3 * SAMPLE_DOCS * len(sizes)).collect():
         sample[lang].append((key, text))
-    out = {}
+    out = {}  # the most frequent language first
     for lang, docs in sample.items():
         data = b""
         for _, text in sorted(docs):
@@ -56,7 +56,7 @@ class Classifier:
     """Compressors for the dictionaries; made once in each Python worker."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.compressors = []
         for lang in self.langs:
             data = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -69,18 +69,18 @@ class Classifier:
             return UNKNOWN, 0.0, 0.0
         data = text.lower().encode("utf-8", "surrogatepass")
         sizes = [len(c.compress(data)) for c in self.compressors]
-        best = min(range(len(sizes)), key=lambda i: (sizes[i], self.langs[i]))
+        best = sizes.index(min(sizes))
         rest = min((x for i, x in enumerate(sizes) if i != best), default=2 * sizes[best])
         margin = (rest - sizes[best]) / max(rest, 1)
         return self.langs[best], max(0.0, min(1.0, margin)), margin
 
 
-def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = 0.01) -> DataFrame:
+def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = 0.005) -> DataFrame:
     """All columns of `df` and ``lang_pred, score, rejected``; columns of these names are replaced.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text if no
     language was learned. A text is also rejected if its margin is below `min_margin`. Each text is
-    compressed whole. Ties go to the first language in order and have margin 0. Every row gets its
+    compressed whole. Ties, as of a few words, go to the most frequent language and have margin 0. Every row gets its
     own answer, repeated ones the same. An empty table gives an empty result.
     """
     kept = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]

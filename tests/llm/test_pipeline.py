@@ -13,7 +13,7 @@ def test_stages_on_the_small_table(spark, sf_dir, docs):
     """run() against the stages by brute force; packing is held to whole documents in whole bins."""
     rows = {r["doc_id"]: r for r in docs.collect()}
     model = langid.Classifier(langid.train(docs))
-    kept = {i: r["text"] for i, r in rows.items() if (p := model.predict(r["text"]))[0] != "und" and p[2] >= 0.01}
+    kept = {i: r["text"] for i, r in rows.items() if (p := model.predict(r["text"]))[0] != "und" and p[2] >= 0.005}
     groups = collections.defaultdict(list)
     for i, t in kept.items():
         groups[t.translate(LOWER)].append(i)
