@@ -22,8 +22,8 @@ from .components import components
 from .minhash import groups
 
 TREES, LEAF, SPILL = 8, 512, 0.10
-#: Most classes on which the splits are fitted; every class is indexed.
-SAMPLE = 65_536
+#: Most classes, and bytes of them, on which the splits are fitted; every class is indexed.
+SAMPLE, SAMPLE_BYTES = 65_536, 64 << 20
 #: A node of which this share of sampled pairs is linked is a leaf of any size: a split would part them.
 DENSE = 0.2
 #: Rows of a block; a leaf of more rows is compared block by block, each pair of blocks in a task of its own.
@@ -174,9 +174,10 @@ def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, see
     """
     kind = np.float32 if single else np.float64
     whole = classes.count()
-    drawn = classes if whole <= SAMPLE else classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / whole))
-    sample = drawn.select("vector").limit(SAMPLE).toPandas()["vector"]
-    sample = unit(np.array(sample.tolist(), float).reshape(-1, dim))
+    most = max(4096, min(SAMPLE, SAMPLE_BYTES // (8 * max(dim, 1))))
+    drawn = classes if whole <= most else classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * most / whole))
+    sample = drawn.select("vector").limit(most).toArrow().column(0).combine_chunks()
+    sample = unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
     splits = [fit_tree(sample, whole, t, seed, threshold) for t in range(trees)]
     del sample
     held = classes.sparkSession.sparkContext.broadcast(splits)  # at most trees * SAMPLE / 4 splits of two numbers
