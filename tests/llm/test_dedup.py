@@ -163,3 +163,13 @@ def test_sha_is_of_normalised_text(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in op4_exact_dedup(spark, sf_dir).collect():
         assert r["text_sha256"] == hashlib.sha256(texts[r["doc_id"]].translate(LOWER).encode()).hexdigest()
+
+
+def test_joins_without_broadcast_give_the_same(docs, monkeypatch):
+    from lexigraph.llm import _common, mixing
+
+    runs = {"near": lambda: minhash.near_dedup(docs), "substring": lambda: substring.substring_dedup(docs), "exact": lambda: exact.exact_dedup(docs), "mix": lambda: mixing.mix(docs)}
+    before = {k: sorted(map(str, f().collect())) for k, f in runs.items()}
+    for module in (_common, exact, mixing):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    assert {k: sorted(map(str, f().collect())) for k, f in runs.items()} == before
