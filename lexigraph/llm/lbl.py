@@ -28,7 +28,7 @@ from ._common import checkpointed
 #: Words with a class of their own, classes of other words, and words whose counts are broadcast.
 SINGLE, ENDINGS, HEAD = 767, 256, 65_536
 CLASSES = 1 + SINGLE + ENDINGS
-DIM, NOISE, BATCH, RATE = 24, 64, 2048, 0.08
+DIM, NOISE, BATCH, RATE = 24, 32, 2048, 0.08
 #: A task hands on its word counts when it holds so many distinct words.
 HELD_WORDS = 300_000
 AVERAGERS = 8
@@ -144,14 +144,17 @@ class Model:
         q = e1 @ self.places[0] + e2 @ self.places[1]
         target = self.out[classes]
         logk = np.log(NOISE * self.noise).astype(np.float32)
-        good = 1 / (1 + np.exp(np.clip((q * target).sum(1) + self.bias[classes] - logk[classes], -30, 30)))
-        bad = -1 / (1 + np.exp(-np.clip(q @ self.out[noise].T + self.bias[noise] - logk[noise], -30, 30)))
+        good = sigmoid(logk[classes] - self.bias[classes] - np.einsum("ij,ij->i", q, target))
+        bad = q @ self.out[noise].T
+        bad += self.bias[noise] - logk[noise]
+        bad = sigmoid(bad)
+        np.negative(bad, out=bad)
         dq = good[:, None] * target + bad @ self.out[noise]
         d_out = scatter(classes, good[:, None] * q)
         np.add.at(d_out, noise, bad.T @ q)
         d_bias = np.bincount(classes, good, CLASSES)
         np.add.at(d_bias, noise, bad.sum(0))
-        d_context = scatter(first, dq @ self.places[0].T) + scatter(second, dq @ self.places[1].T)
+        d_context = scatter(np.concatenate((first, second)), np.concatenate((dq @ self.places[0].T, dq @ self.places[1].T)))
         d_places = np.stack([e1.T @ dq, e2.T @ dq])
         for p, g, s in zip(self.parts(), (d_out, d_context, d_places, d_bias), past, strict=True):
             g = (g / n).astype(np.float32)
@@ -167,6 +170,15 @@ class Model:
         return tuple((x / np.log(10)).astype(np.float32) for x in (a, b, z))
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of `rows` by class: sorted, then added run by run."""
     out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
