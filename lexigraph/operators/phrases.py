@@ -29,15 +29,24 @@ def phrase_table(terms: DataFrame, id_col: str = "term", text_col: str = "text")
 
 def find_phrases(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_breaks: str = "ignore") -> DataFrame:
     """(id_col, term, x, y) of matches that do not overlap: those of most words first, then the leftmost."""
-    texts = docs.select(F.col(id_col), visible(F.col(text_col)).alias("w")).select(id_col, "w.*").where(F.size("words") > 0)
+    scanned = lambda rows: rows.select(F.col(id_col), visible(F.col(text_col)).alias("w")).select(id_col, "w.*").where(F.size("words") > 0)
+    texts = scanned(docs)
     # Only (id, place, key) goes through the join; documents with a hit are then compared whole.
-    n_words = F.size("words")
-    keys = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), n_words - i)), lambda k: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, k), " ").alias("key")))
-    keyed = texts.select(id_col, F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n_words - 1), keys))).alias("k")).select(id_col, "k.pos", "k.key")
+    # Keys of a size are made only if some phrase has one: at most KEY sizes come to the driver.
+    sizes = [r[0] for r in phrases.select(F.least(F.lit(KEY), "n")).distinct().collect()]
+    keyed = None
+    for k in sorted(sizes):
+        runs = texts.where(F.size("words") >= k)
+        keys = F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.concat_ws(" ", *[F.get("words", i + j) for j in range(k)]))  # noqa: B023  (a slice would copy the whole array each time)
+        part = runs.select(id_col, F.posexplode(keys if k > 1 else F.col("words")).alias("pos", "key"))
+        keyed = part if keyed is None else keyed.unionByName(part)
+    if keyed is None:
+        return texts.select(id_col, F.lit(0).alias("term"), F.lit(0).alias("x"), F.lit(0).alias("y")).limit(0)
     if phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
         phrases = F.broadcast(phrases)
     hits = keyed.join(phrases.withColumnRenamed("words", "phrase"), "key").select(id_col, "pos", "n", "term", "phrase")
-    hits = hits.join(texts, id_col).where(F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("phrase"))
+    # Only documents with a hit are scanned again.
+    hits = hits.join(scanned(docs.join(hits.select(id_col).distinct(), id_col, "left_semi")), id_col).where(F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("phrase"))
     last = F.col("pos") + F.col("n") - 1
     if line_breaks == "boundary":
         hits = hits.where(F.col("line")[F.col("pos")] == F.col("line")[last])
