@@ -35,6 +35,17 @@ def test_language_of_odd_rows(spark, odd, nothing, docs):
     assert {r["lang_pred"] for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_long_texts_keep_their_margin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' OR lang = 'de'")
+    model = langid.train(docs.where(langid.remainder("doc_id", 4) != 2))
+    texts = [r["text"] for r in docs.where((langid.remainder("doc_id", 4) == 2) & (F.col("lang") == "en")).select("text").distinct().collect()]
+    long = "\n".join(sorted(x for x in texts if x))[:3_000_000]
+    assert len(long) == 3_000_000
+    r = langid.identify(spark.createDataFrame([(long,)], "text string"), model).head()
+    lang, score, margin = langid.Classifier(model).predict(long[:30_000])
+    assert r["lang_pred"] == lang == "en" and not r["rejected"] and r["score"] > 0.03 and score == margin
+
+
 def test_sample_is_bounded(docs, monkeypatch):
     monkeypatch.setattr(langid, "DICT_BYTES", 5000)
     assert all(len(d) <= 5000 + langid.SAMPLE_CHARS * 4 for d in langid.train(docs).values())
