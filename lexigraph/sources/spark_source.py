@@ -43,19 +43,23 @@ def parse(data: bytes, format: str | None, path: str) -> Graph:
 def read_triples(spark: SparkSession, paths: str | list[str], format: str | None = None) -> DataFrame:
     """(path, and the columns of a triples table) of all files; `ord` counts within a file.
 
-    Blank nodes are told apart by file only by `path`; `plans.graph.merge` names them apart.
+    Blank nodes are told apart by file only by `path`; `plans.graph.merge` names them apart. A file of
+    more than MAX_BYTES is an error, raised without reading its content.
     """
 
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if data is None:
+                    raise EngineError(2, f"Source exceeds 256 MiB input limit: {path}")
                 columns = list(zip(*rows_of(parse(data, format, path)), strict=True)) or [()] * 9
                 n = len(columns[0])
                 types = [pa.int32(), pa.int64(), *[pa.string()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["path", *[x.split()[0] for x in SCHEMA.split(", ")]])
 
     files = spark.read.format("binaryFile").load(paths)
-    return files.where(F.col("length") <= MAX_BYTES).select("path", "content").mapInArrow(run, f"path string, {SCHEMA}")
+    large = files.where(F.col("length") > MAX_BYTES).select("path", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= MAX_BYTES).select("path", "content").union(large).mapInArrow(run, f"path string, {SCHEMA}")
 
 
 def triples_of(df: DataFrame, id_col: str, text_col: str, format: str | None = None, base: str = "") -> DataFrame:

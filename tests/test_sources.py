@@ -111,3 +111,15 @@ def test_spark_sources(spark, tmp_path):
     assert spark.read.format("turtle").option("path", str(tmp_path / "t")).load().count() == 3
     df = spark.read.format("ontology-jsonl").option("path", str(tmp_path / "r.jsonl")).load()
     assert df.count() == 9 and df.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_large_files_are_errors(spark, tmp_path, monkeypatch):
+    from lexigraph.sources import spark_source
+
+    (tmp_path / "a.ttl").write_text("<http://e/a> <http://e/p> 'x' .", encoding="utf-8")
+    (tmp_path / "b.ttl").write_text("<http://e/b> <http://e/p> 'y' ." + " " * 100, encoding="utf-8")
+    assert spark_source.read_triples(spark, str(tmp_path)).count() == 2
+    monkeypatch.setattr(spark_source, "MAX_BYTES", 100)
+    assert spark_source.read_triples(spark, str(tmp_path / "a.ttl")).count() == 1
+    with pytest.raises(Exception, match="Source exceeds 256 MiB input limit"):
+        spark_source.read_triples(spark, str(tmp_path)).collect()
