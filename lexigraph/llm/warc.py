@@ -22,7 +22,11 @@ SPACE_ID = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lexigraph:warc")
 RESPONSE = "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload string"
 DERIVED = "page_id long, record_id string, warc_type string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, source_headers string, block string"
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|svg|head)(?![\w:-])[^>]*>", re.I)
+IN_HEAD = re.compile(r"\s+|<!--|<(script|style|noscript|template|noframes|title)(?![\w:-])[^>]*>|<(?:base|basefont|bgsound|link|meta|html)(?![\w:-])[^>]*>|</(?!(?:head|body|html|br)(?![\w:-]))[a-z][^>]*>|<(?:!(?!--)|\?)[^>]*>", re.I)
+CLOSING = {"--": re.compile("-->")} | {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "noframes", "title", "svg", "head")}
+#: What hides the rest of the page if it is not closed.
+ENDLESS = ("--", "script", "style")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -43,9 +47,40 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE_ID, '|'.join(map(str, parts)))}>"
 
 
+def visible(page: str) -> str:
+    """`page` with a blank in place of each comment, script, style, noscript, template, svg and head.
+
+    A head ends where it is closed or where something begins that cannot stand in it. Of an unclosed
+    noscript, template or svg, or an svg that closes itself, only the tag goes.
+    """
+    absent: set[str] = set()  # names that close nowhere further on, so that a page is searched for each but once
+
+    def end(m: re.Match) -> int:
+        name = (m[1] or "--").lower()
+        if name == "svg" and m[0].endswith("/>"):
+            return m.end()
+        close = None if name in absent else CLOSING[name].search(page, m.end())
+        if close:
+            return close.end()
+        absent.add(name)
+        return len(page) if name in ENDLESS else m.end()
+
+    def head_end(at: int) -> int:
+        while m := IN_HEAD.match(page, at):
+            at = end(m) if m[1] or m[0] == "<!--" else m.end()
+        close = CLOSING["head"].match(page, at)
+        return close.end() if close else at
+
+    out, at = [], 0
+    while m := HIDDEN.search(page, at):
+        out += [page[at : m.start()], " "]
+        at = head_end(m.end()) if (m[1] or "").lower() == "head" else end(m)
+    return "".join([*out, page[at:]])
+
+
 def plain(page: str) -> str:
     """Visible text, one line per block, without scripts, comments, head and markup."""
-    text = BLOCK.sub("\n", HIDDEN.sub(" ", page))
+    text = BLOCK.sub("\n", visible(page))
     text = entities.unescape(TAG.sub("", text))
     return "\n".join(x for x in (INLINE_SPACE.sub(" ", line).strip() for line in text.split("\n")) if x)
 
@@ -57,7 +92,7 @@ def fields(page: str, headers: dict[str, str]) -> str:
     lines = [f"title: {' '.join(entities.unescape(title[1]).split())}"] if title else []
     lines += [f"language: {lang[1]}"] if lang else []
     lines += [f"source-{k.lower()}: {v}" for k, v in headers.items()]
-    lines += [f"outlink: {entities.unescape(next(filter(None, m.groups()), ''))} L a/@href".replace("\n", " ").replace("\r", " ") for m in LINK.finditer(HIDDEN.sub(" ", page))]
+    lines += [f"outlink: {entities.unescape(next(filter(None, m.groups()), ''))} L a/@href".replace("\n", " ").replace("\r", " ") for m in LINK.finditer(visible(page))]
     return "".join(x + CRLF for x in lines)
 
 

@@ -137,3 +137,12 @@ def test_plain_text():
     page = "<html><head><title>T &amp; t</title><style>p{}</style></head><body><!-- no --><script>var a='</p>';</script><p>One <b>two</b>&nbsp;three<br>four</p><div>a&lt;b</div>"
     assert warc.plain(page) == "One two three\nfour\na<b"
     assert "title: T & t" in warc.fields(page, {"Content-Type": "text/html"}) and warc.plain("<p") == ""
+
+
+def test_what_is_not_closed_hides_no_text():
+    assert warc.plain("<html><head><title>t</title><body><p>whole body text</p>") == "whole body text"
+    assert warc.plain("<p>a</p><svg width=1 /><p>rest of page</p>") == "a\nrest of page"
+    assert warc.plain("<head><meta charset=utf-8><script>x='</head>'</script><p>b</p><svg><text>c</text></svg>d<svg><p>e") == "b\nd\ne"
+    assert warc.plain("<head>\n<!-- <p> --><link rel=x></title>text<noscript>f") == "text f" and warc.plain("<head></head>g<script>h") == "g"
+    assert "outlink: http://x/ L" in warc.fields("<head><title>t</title><a href='http://x/'>y</a>", {})
+    assert warc.plain("<svg>" * 100_000 + "z") == "z"
