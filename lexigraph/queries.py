@@ -485,7 +485,7 @@ ENTITIES = "WITH " + DOC_TOKENS + ", " + WORDS + " SELECT doc_id, 'c_' || w AS c
 
 
 def _entities(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    parse = parser(spark, word_ontology(spark, sf_dir).index, entities_only=True, **options)
+    parse = parser(spark, word_ontology(spark, sf_dir).index, entities_only=True, failfast=True, **options)
     nodes = texts(spark, sf_dir).select("doc_id", F.explode(parse(F.col("text"))["nodes"]).alias("n"))
     return nodes.select("doc_id", "n.canon", "n.x", "n.y")
 
@@ -503,7 +503,7 @@ def source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + TOKENS.format(id="conv_id, turn", table="conversations") + ", " + WORDS + " SELECT conv_id, turn, string_agg(CASE WHEN w IS NOT NULL THEN 'c_' || w ELSE trim(text) END, ' ' ORDER BY x, y) AS text FROM tokens LEFT JOIN vw ON w = normal WHERE normal <> '' GROUP BY ALL")
 def render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parse = parser(spark, word_ontology(spark, sf_dir).index)
+    parse = parser(spark, word_ontology(spark, sf_dir).index, failfast=True)
     parsed = texts(spark, sf_dir, "conversations").select("conv_id", "turn", parse(F.col("text"))["nodes"].alias("n")).where("size(n) > 0")
     return parsed.select("conv_id", "turn", rendered(F.filter("n", lambda t: (t["normal"] != "") | t["type"].isNotNull())).alias("text")).where("text <> ''")
 
@@ -519,7 +519,7 @@ def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(path))
-    parsed = parse_stream(source.select("doc_id", "text"), word_ontology(spark, sf_dir))
+    parsed = parse_stream(source.select("doc_id", "text"), word_ontology(spark, sf_dir), failfast=True)
     found = parsed.select("doc_id", F.explode("parsed.nodes").alias("n")).select("doc_id", "n.canon", "n.x", "n.y")
     found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("doc_id long, canon string, x int, y int").parquet(f"{folder}/out")
@@ -546,7 +546,7 @@ def _span_ontology(spark: SparkSession) -> Ontology:
 
 def _spans(spark: SparkSession, sf_dir: str, line_breaks: str) -> DataFrame:
     """Documents with a match of the rule, and the first place of one."""
-    parse = parser(spark, _span_ontology(spark).index, line_breaks=line_breaks, entities_only=True)
+    parse = parser(spark, _span_ontology(spark).index, line_breaks=line_breaks, entities_only=True, failfast=True)
     nodes = texts(spark, sf_dir).select("doc_id", F.explode(parse(F.col("text"))["nodes"]).alias("n"))
     return nodes.groupBy("doc_id").agg(F.min(F.least(F.col("n.y") - F.col("n.x"), F.lit(1))).alias("found"))
 

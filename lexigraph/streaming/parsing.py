@@ -15,9 +15,9 @@ from ..functions.udfs import parser
 from ..plans.ontology import Ontology
 
 
-def parse_stream(docs: DataFrame, ontology: Ontology, text_col: str = "text", line_breaks: str = "ignore", entities_only: bool = True) -> DataFrame:
-    """`docs`, batch or streaming, with ``parsed``."""
-    parse = parser(docs.sparkSession, ontology.index, line_breaks=line_breaks, entities_only=entities_only)
+def parse_stream(docs: DataFrame, ontology: Ontology, text_col: str = "text", line_breaks: str = "ignore", entities_only: bool = True, failfast: bool = False) -> DataFrame:
+    """`docs`, batch or streaming, with ``parsed``; an error is that row's, or the query's if `failfast`."""
+    parse = parser(docs.sparkSession, ontology.index, line_breaks=line_breaks, entities_only=entities_only, failfast=failfast)
     return docs.withColumn("parsed", parse(F.col(text_col)))
 
 

@@ -44,6 +44,19 @@ def test_error_rows(spark):
         df.select(U.parser(spark, bad, failfast=True)(F.col("text"))).collect()
 
 
+def test_queries_do_not_lose_documents_beyond_the_limit(spark, tmp_path):
+    from lexigraph import queries as Q
+    from lexigraph.operators.matching import OPERATIONS
+
+    long, pairs = ("abcdefghij " * (OPERATIONS + 1), f"{Q.RULE[0]} {Q.RULE[1]} " * (OPERATIONS + 1))
+    spark.createDataFrame([(1, "abcdefghij")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, long), (2, pairs)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, long)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for query in (Q.parse_entities, Q.source_entities, Q.stream_parse, Q.render, Q.span_match, Q.line_break_boundary):
+        with pytest.raises(Exception, match="Matching operation limit exceeded"):
+            query(spark, str(tmp_path)).collect()
+
+
 @pytest.mark.parametrize("line_breaks", ["ignore", "boundary"])
 def test_joins_find_what_the_kernel_finds(spark, sf_dir, line_breaks, monkeypatch):
     import lexigraph.operators.phrases as P
