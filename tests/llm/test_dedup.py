@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ import pytest
 from lexigraph.llm import exact, minhash, substring
 from lexigraph.llm.components import components
 
+from .conftest import prose
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -129,25 +132,70 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def plainly_removed(rows, unit, least=25):
+    """Units and removed units of each text, one rule at a time, with sets of strings."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        parts = re.split(r"(?<=\n)|(?<=[.!?] )(?![ \t])|(?<=[.!?]\t)(?![ \t])" if unit == "line" else r"(?<=\n\n)", text)
+        glued = [""]
+        for x in parts:
+            glued[-1] += x
+            if len(x.split()) >= 5:
+                glued.append("")
+        glued = [x for x in glued if x]
+        old = []
+        for u in glued:
+            n = " ".join(u.lower().split())
+            old.append(n in seen and n != "")
+            seen.add(n)
+        gone = set()
+        for a in range(len(glued)):
+            for b in range(a, len(glued)):
+                if not old[b]:
+                    break
+                if len("".join(glued[a : b + 1]).split()) >= least:
+                    gone |= set(range(a, b + 1))
+        out[i] = (glued, gone)
+    return out
+
+
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_substring_matches_brute_force(docs, unit):
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
-    seen, expected = set(), {}
-    for i, text in rows:
-        gone = []
-        for start, end in substring.spans(text, unit):
-            n = substring.normal(text[start:end])
-            if len(n.split()) >= substring.MIN_WORDS:
-                if n in seen:
-                    gone.append((start, end))
-                seen.add(n)
-        expected[i] = gone
-    got = {r["doc_id"]: r for r in substring.substring_dedup(docs, unit=unit).collect()}
+def test_substring_matches_brute_force(spark, docs, unit):
+    rows = [(r["doc_id"], r["text"] if unit == "line" else r["text"].replace(".\n", ".\n\n")) for r in docs.select("doc_id", "text").collect()]
+    rows = [(i, re.sub(r"[ \t]*\n\s*\n\s*", "\n\n", t) if unit == "paragraph" else re.sub(r"(?<=[.!?])  +", " ", t)) for i, t in rows]
+    got = {r["doc_id"]: r for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit=unit).collect()}
+    texts, removed = dict(rows), 0
+    for i, (glued, gone) in plainly_removed(rows, unit).items():
+        assert got[i]["text"] == "".join(u for k, u in enumerate(glued) if k not in gone)
+        taken = "".join(texts[i][a:b] for a, b in got[i]["removed"])
+        assert taken.split() == " ".join(u for k, u in enumerate(glued) if k in gone).split() or len(got[i]["removed"]) > 1
+        assert "".join(taken.split()) == "".join("".join(u for k, u in enumerate(glued) if k in gone).split()) and got[i]["n_removed"] == len(got[i]["removed"])
+        removed += len(gone)
+    assert removed > 20
+
+
+def test_substring_finds_passages_inside_lines(spark):
+    """A passage of over fifty words that begins and ends amid sentences is removed; stock lines are left alone."""
+    passage = ". ".join(prose(900 + k, 9).capitalize() for k in range(7)) + "."
+    broken = passage.replace(". ", ".\n", 3)
+    rows = [(i, f"{prose(i, 40)} {passage if i % 2 else broken} {prose(100 + i, 40)}. {prose(200 + i, 30)}") for i in range(12)]
+    rows += [(50 + i, f"{prose(300 + i, 60)}\nAll rights reserved by the holder of this text.\nYes.\n{prose(400 + i, 60)}") for i in range(12)]
+    got = {r["doc_id"]: r for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = dict(rows)
-    for i, gone in expected.items():
-        assert [tuple(s) for s in got[i]["removed"] or ()] == gone and got[i]["n_removed"] == len(gone)
-        kept = [texts[i][s:e] for s, e in substring.spans(texts[i], unit) if (s, e) not in gone]
-        assert got[i]["text"].replace("\n", "") == "".join(kept).replace("\n", "")
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 1 for i in range(1, 12))
+    assert all(got[50 + i]["n_removed"] == 0 and got[50 + i]["text"] == texts[50 + i] for i in range(12))
+    for i in range(1, 12):
+        (a, b), = got[i]["removed"]
+        assert texts[i][:a].rstrip() + " " + texts[i][b:].lstrip() == " ".join([got[i]["text"][:a].rstrip(), got[i]["text"][a:].lstrip()]) and len(texts[i][a:b].split()) >= 45
+
+
+def test_substring_counts_letters_of_unspaced_scripts_and_keeps_repeated_ids_apart(spark):
+    sentence = "".join(chr(0x4E00 + k) for k in range(30)) + "\u3002"
+    more = "".join(chr(0x5E00 + k) for k in range(40)) + "\u3002"
+    rows = [(1, sentence + more), (2, "\u5b57\u3002" + more + sentence + more), (7, prose(1, 40)), (8, prose(1, 40)), (8, prose(2, 60)), (8, None)]
+    got = sorted(map(str, ((r["doc_id"], r["text"], r["n_removed"]) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    expected = [(1, sentence + more, 0), (2, "\u5b57\u3002" + more, 1), (7, prose(1, 40), 0), (8, "", 1), (8, prose(2, 60), 0), (8, None, 0)]
+    assert got == sorted(map(str, expected))
 
 
 def test_substring_on_odd_rows(odd, nothing):
