@@ -1,17 +1,39 @@
 """Exact dedup by progressive refinement: length, then a hash of the prefix, then a hash of the whole text.
 
-Only DataFrame functions run. Each step keeps the groups that still hold two rows or more;
-the digest of a whole text is computed only for rows of surviving (length, prefix) groups.
+Only DataFrame functions run. Each step looks only at rows whose group held two rows or more in the step
+before, and the digest of a whole text is computed only for rows of surviving (length, prefix) groups. Which
+groups survive is told by a bitmap of 2**26 places, whatever their number: it is a table of at most 2**20
+words, which may always be broadcast, so that no text is ever shuffled. A row that shares a place by chance
+is looked at once more and found alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, ascii_lower, checkpointed, lookup
+from ._common import ascii_lower, checkpointed, lookup
 
 PREFIX_CHARS = 64
+#: Places of a bitmap, as a power of two; a word of it has 64 places.
+PLACES = 26
+
+
+def place(*key: Column) -> Column:
+    return F.xxhash64(*key).bitwiseAND(F.lit((1 << PLACES) - 1))
+
+
+def bitmap(groups: DataFrame, *key: str) -> DataFrame:
+    """(_word, _bits): the places of the keys of `groups`; at most 2**(PLACES - 6) rows."""
+    at = groups.select(place(*map(F.col, key)).alias("_at"))
+    return at.groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")).alias("_bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
+    """`rows` with ``_alive``: whether the place of a row's key is marked."""
+    rows = rows.withColumn("_at", place(*map(F.col, key))).withColumn("_word", F.shiftright("_at", 6))
+    alive = F.expr("coalesce(shiftrightunsigned(_bits, CAST(_at & 63 AS INT)) & 1, 0) = 1")
+    return rows.join(F.broadcast(bits), "_word", "left").withColumn("_alive", alive).drop("_word", "_bits", "_at")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -23,30 +45,25 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     copies are told apart by nothing). A null id never beats another one. Other columns of `df`
     are not read, so their names cannot clash. An empty table gives an empty result.
     """
-    text = ascii_lower(F.col(text_col))
     rows = df.select(
         F.col(id_col).alias("_id"),
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
         F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"),
-        F.xxhash64(ascii_lower(F.substring(F.col(text_col), 1, PREFIX_CHARS))).alias("_prefix"),
-        text.alias("_text"),
+        F.col(text_col).alias("_text"),
     )
-    keys = rows.select("_len", "_prefix")
-    # Step 1: lengths that occur twice; step 2: (length, prefix hash) pairs that occur twice among them.
-    lengths = keys.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
-    pairs = keys.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1")
-    alive = checkpointed(pairs.join(lengths, "_len", "left_semi").select("_len", "_prefix", F.lit(True).alias("_alive")))
-    digest = F.sha2(F.col("_text"), 256)
-    if alive.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        # Step 3 reads whole texts of surviving groups where they lie; no text is shuffled.
-        rows = rows.join(F.broadcast(alive), ["_len", "_prefix"], "left").withColumn("_full", F.when(F.col("_alive"), digest))
-    else:
-        # More groups than may be broadcast: digests are made in the scan, and only they are shuffled.
-        rows = rows.withColumn("_full", digest)
-    rows = rows.drop("_text", "_alive")
+    prefix = F.xxhash64(ascii_lower(F.substring("_text", 1, PREFIX_CHARS)))
+    # Step 1: lengths that occur twice. Only their rows go on.
+    lengths = checkpointed(bitmap(rows.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1"), "_len"))
+    rows = marked(rows, lengths, "_len").withColumn("_prefix", F.when(F.col("_alive"), prefix)).drop("_alive")
+    # Step 2: among them, (length, prefix) pairs that occur twice.
+    pairs = rows.where("_prefix IS NOT NULL").groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = marked(rows, checkpointed(bitmap(pairs, "_len", "_prefix")), "_len", "_prefix")
+    # Step 3: whole texts of what survives, read where they lie. The rows that go on are narrow, and are written once.
+    rows = rows.withColumn("_full", F.when(F.col("_prefix").isNotNull() & F.col("_alive"), F.sha2(ascii_lower(F.col("_text")), 256))).drop("_text", "_alive", "_prefix")
+    rows = checkpointed(rows)
     groups = rows.where(F.col("_full").isNotNull()).groupBy("_len", "_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
     # Rows without a digest get a key of their own: a shared null would send them all to one task.
-    spread = F.coalesce(F.col("_full"), F.concat(F.lit("-"), F.col("_prefix").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
+    spread = F.coalesce(F.col("_full"), F.concat(F.lit("-"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     out = rows.withColumn("_full", spread).join(lookup(groups), ["_len", "_full"], "left")
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return out.select(

@@ -66,10 +66,20 @@ def test_exact_on_nothing_and_carried_columns(nothing, docs):
     assert rows[0].__fields__ == ["doc_id", "keep_id", "group_size", "kept", "lang"] and len(rows) == docs.count()
 
 
-def test_exact_without_broadcast_is_the_same(docs, monkeypatch):
+def test_exact_does_not_depend_on_the_bitmap(spark, docs, monkeypatch):
+    """With a bitmap of 64 places, which nearly all rows share, the groups are the same."""
+    from pyspark.sql import functions as F
+
     plain = sorted(exact.exact_dedup(docs).collect())
-    monkeypatch.setattr(exact, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(exact, "PLACES", 6)
+    monkeypatch.setattr(exact, "PREFIX_CHARS", 1)
     assert sorted(exact.exact_dedup(docs).collect()) == plain
+    keys = spark.range(1000).select(F.col("id").alias("k"))
+    monkeypatch.setattr(exact, "PLACES", 12)
+    bits = exact.bitmap(keys.where("k < 50"), "k")
+    assert bits.count() <= 64
+    alive = {r["k"] for r in exact.marked(keys, bits, "k").where("_alive").collect()}
+    assert alive >= set(range(50)) and len(alive) < 100
 
 
 def test_near_matches_brute_force(docs):
@@ -218,6 +228,6 @@ def test_joins_without_broadcast_give_the_same(docs, monkeypatch):
 
     runs = {"near": lambda: minhash.near_dedup(docs), "substring": lambda: substring.substring_dedup(docs), "exact": lambda: exact.exact_dedup(docs), "mix": lambda: mixing.mix(docs)}
     before = {k: sorted(map(str, f().collect())) for k, f in runs.items()}
-    for module in (_common, exact, mixing):
+    for module in (_common, mixing):
         monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
     assert {k: sorted(map(str, f().collect())) for k, f in runs.items()} == before
