@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import EngineError
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one will do on a single machine; on a cluster it is an error, as
+    executors would not see it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexigraph-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise EngineError(1, "spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexigraph-"))
     return context.getCheckpointDir()
 
 
