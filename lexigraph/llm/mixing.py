@@ -63,23 +63,27 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     own (``"null"`` in `weights`); a null or empty text counts no characters; rows that repeat an
     id get the same count. Weights of zero drop a source. An empty table gives an empty result.
     """
-    by_source = rates(df, source_col, text_col, weights, alpha, scale)
+    kept = [c for c in df.columns if c != "copy"]
+    names = [f"_{i}" for i in range(len(kept))]  # so that no column can clash with those made here
+    at = dict(zip(kept, names, strict=True))
+    key, source, text = F.col(at[id_col]), at[source_col], at[text_col]
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    by_source = rates(df, source, text, weights, alpha, scale)
     if by_source.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         by_source = F.broadcast(by_source)
     rate = F.col("_rate")
     parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0).cast("long"), lambda s, j: s + poisson(uniform(seed, F.col(id_col), j), F.col("_mean")))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0).cast("long"), lambda s, j: s + poisson(uniform(seed, key, j), F.col("_mean")))
     out = (
-        df.drop("copy")
-        .join(by_source, F.col(source_col).eqNullSafe(F.col("_source")))
+        df.join(by_source, F.col(source).eqNullSafe(F.col("_source")))
         .withColumn("_parts", parts)
         .withColumn("_mean", rate / F.col("_parts"))
         .withColumn("_count", count)
         .where("_count > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count").cast("int") - 1)))
-        .withColumn("_order", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+        .withColumn("_order", F.xxhash64(F.lit(seed), key, F.col("copy")))
     )
-    return out.repartition("_order").sortWithinPartitions("_order").select(*df.drop("copy").columns, "copy")
+    return out.repartition("_order").sortWithinPartitions("_order").select(*[F.col(n).alias(c) for c, n in at.items()], "copy")
 
 
 def oracle(alpha: float = 0.7, scale: float = 1.0, seed: int = 11) -> str:
