@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Bounds of the sample from which the dictionaries are made: languages, documents and bytes of each, characters of a document.
-MAX_LANGS, SAMPLE_DOCS, DICT_BYTES, SAMPLE_CHARS = 256, 400, 112_000, 20_000
+#: Bounds of the sample from which the dictionaries are made: documents and bytes of each language, characters of a document.
+SAMPLE_DOCS, DICT_BYTES, SAMPLE_CHARS = 400, 112_000, 20_000
+#: Labels beyond which `train` refuses: the column is no column of languages then.
+MOST_LANGS = 1024
 LEVEL = 9
 #: A text is compressed in blocks of this many bytes, each from the dictionaries anew, so that they help its end as much as its beginning.
 BLOCK = 32_768
@@ -27,31 +29,35 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """A raw-content dictionary per language, from a bounded sample of `labelled`.
 
     Rows with a null language, or a null or blank text, teach nothing. Of each language, about
-    SAMPLE_DOCS documents of at most SAMPLE_CHARS characters are drawn by a hash of the id, and
-    whole ones are joined up to DICT_BYTES. At most MAX_LANGS languages, the most frequent, are
-    learned. The sample is the only thing that reaches the driver.
+    SAMPLE_DOCS documents are drawn by a hash of the id, of each at most SAMPLE_CHARS characters, in a
+    longer one from a place that the hash names; they are joined up to DICT_BYTES, by a task for each
+    language. Every language is learned, the most frequent one first; more than MOST_LANGS are an error.
+    Only the dictionaries reach the driver.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0) & (F.length(text_col) <= SAMPLE_CHARS))
-    sizes = dict(rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect())
+    order = F.xxhash64(F.lit("langid"), F.col(id_col))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), order.alias("o"), F.col(text_col).cast("string").alias("text"))
+    sizes = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect())
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
-    order = F.xxhash64(F.lit("langid"), F.col(id_col))
-    drawn = rows.where(F.col(lang_col).isin(*sizes) & ((F.pmod(order, F.lit(1 << 30)) / float(1 << 30)) < F.try_element_at(share, F.col(lang_col))))
-    sample: dict[str, list] = {k: [] for k in sizes}
-    for lang, key, text in drawn.select(lang_col, order.alias("o"), text_col).limit(3 * SAMPLE_DOCS * len(sizes)).collect():
-        sample[lang].append((key, text))
-    out = {}  # the most frequent language first
-    for lang, docs in sample.items():
+    drawn = rows.where((F.pmod("o", F.lit(1 << 30)) / float(1 << 30)) < F.try_element_at(share, F.col("lang")))
+    start = F.pmod(F.shiftrightunsigned("o", 31), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
+    drawn = drawn.select("lang", "o", F.substring(F.col("text"), (start + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+
+    def join(group: pa.Table) -> pa.Table:
         data = b""
-        for _, text in sorted(docs):
-            more = text.lower().encode()
+        for _, text in sorted(zip(group.column("o").to_pylist(), group.column("text").to_pylist(), strict=True)):
+            more = text.lower().encode("utf-8", "surrogatepass")
             if data and len(data) + len(more) > DICT_BYTES:
                 continue
-            data += more + b"\n"
-        if data:
-            out[lang] = data
-    return out
+            data += more[:DICT_BYTES] + b"\n"
+        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()], pa.string()), "data": pa.array([data], pa.binary())})
+
+    made = {r["lang"]: bytes(r["data"]) for r in drawn.groupBy("lang").applyInArrow(join, "lang string, data binary").collect()}
+    return {lang: made[lang] for lang in sizes if made.get(lang)}
 
 
 class Classifier:
