@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a shard on average. Shards are packed apart; each leaves at most a few open bins.
+#: Pieces of a shard on average. Shards are packed apart; each leaves at most a few open bins.
 SHARD_ROWS = 4000
 
 
@@ -84,7 +84,8 @@ def pack(df: DataFrame, capacity: int = 4096, per_source: int = 4, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.md5(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(r"\S+")).alias("n"), F.coalesce(cluster, F.concat(F.lit("null"), F.col(id_col).cast("string"))).alias("cluster")).where("n > 0")
-    n_shards = max(1, -(-df.count() // shard_rows))
+    n_pieces = rows.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
+    n_shards = max(1, -(-int(n_pieces) // shard_rows))
     pieces = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(capacity)))).select(
         F.pmod(F.xxhash64(F.lit(seed), "id", "start"), F.lit(n_shards)).alias("shard"), "id", "source", "cluster", F.col("start").cast("int"), F.least(F.lit(capacity), F.col("n") - F.col("start")).cast("int").alias("size")
     )
