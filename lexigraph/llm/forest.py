@@ -24,10 +24,13 @@ from .minhash import groups
 TREES, LEAF, SPILL = 8, 512, 0.10
 #: Most classes, and bytes of them, on which the splits are fitted; every class is indexed.
 SAMPLE, SAMPLE_BYTES = 65_536, 64 << 20
-#: A node of which this share of sampled pairs is linked is a leaf of any size: a split would part them.
+#: In the first tree, a node of which this share of sampled pairs is linked is a leaf of any size: a split would
+#: part them. The other trees split it like any other, so that only one compares all its pairs.
 DENSE = 0.2
 #: Rows of a block; a leaf of more rows is compared block by block, each pair of blocks in a task of its own.
 BLOCK = 1024
+#: Lengths that have no more classes than this get no trees: all their vectors are one leaf.
+PLAIN = 4096
 MAX_DEPTH = 40
 
 
@@ -53,7 +56,7 @@ def fit_tree(sample: np.ndarray, whole: int, tree: int, seed: int, threshold: fl
         if len(rows) <= most or level >= MAX_DEPTH:
             continue
         a, b = rng.choice(rows, 400), rng.choice(rows, 400)
-        if (np.einsum("ij,ij->i", sample[a], sample[b])[a != b] >= threshold).mean() > DENSE:
+        if tree == 0 and (np.einsum("ij,ij->i", sample[a], sample[b])[a != b] >= threshold).mean() > DENSE:
             continue
         order = np.sort(at[rows, level])
         n, w = len(rows), max(1, int(SPILL * len(rows)))
@@ -148,14 +151,13 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     single = isinstance(df.schema[vector_col].dataType, T.ArrayType) and isinstance(df.schema[vector_col].dataType.elementType, T.FloatType)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(T.ArrayType(T.DoubleType())).alias("vector")).withColumn("vector", F.when(usable(vector), F.transform(vector, lambda v: v + F.lit(0.0))))
     whole = rows.where(vector.isNotNull())
-    classes = checkpointed(whole.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.xxhash64("vector", F.lit(seed))))
-    dims = [r[0] for r in classes.select(F.size("vector")).distinct().limit(1000).collect()]
-    found = None
-    for dim in dims:
-        part = forest_links(classes.where(F.size("vector") == dim), dim, threshold, trees, seed, single)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    # Classes are numbered, not hashed, so that no two can be taken for one; the numbers are fixed by the checkpoint.
+    classes = whole.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")))
+    many = [r[0] for r in classes.groupBy("dim").count().where(F.col("count") > PLAIN).select("dim").collect()]
+    found = linked_pairs(placed_plainly(classes.where(~F.col("dim").isin(many)) if many else classes, single), threshold, single)
+    for dim in many:
+        found = found.unionByName(linked_pairs(placed_by_trees(classes.where(F.col("dim") == dim), dim, threshold, trees, seed, single), threshold, single))
     found = checkpointed(found)
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("component", "root")
@@ -167,15 +169,36 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return out.select(F.col("id").alias(id_col), "n_links", F.coalesce("component_id", "id").alias("component_id"), F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
 
 
-def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, seed: int, single: bool = False) -> DataFrame:
-    """(a, b, n): edges of spanning forests (n null), and link counts of a class in one leaf (b null).
+PLACED = "id long, copies long, vector binary, leaves array<long>"
+
+
+def packed(vectors: pa.Array, single: bool) -> pa.Array:
+    """The bytes of each vector, four a component if they came so, else eight."""
+    kind = np.float32 if single else np.float64
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum(vectors.value_lengths().to_numpy())
+    return pa.array([v.tobytes() for v in np.split(flat, ends[:-1])], pa.binary())
+
+
+def placed_plainly(classes: DataFrame, single: bool) -> DataFrame:
+    """Classes in one leaf for each length of vectors, numbered below zero."""
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1), pa.int32()), pa.array(-1 - batch.column(3).to_numpy().astype(np.int64) - 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed(batch.column(2), single), lists], names=["id", "copies", "vector", "leaves"])
+
+    return classes.select("id", "copies", "vector", "dim").mapInArrow(place, PLACED)
+
+
+def placed_by_trees(classes: DataFrame, dim: int, threshold: float, trees: int, seed: int, single: bool) -> DataFrame:
+    """Classes of one length with their leaves in all trees.
 
     Vectors travel as they came, in four bytes a component if they were `single`; they are scaled where they are compared.
     """
-    kind = np.float32 if single else np.float64
     whole = classes.count()
     most = max(4096, min(SAMPLE, SAMPLE_BYTES // (8 * max(dim, 1))))
-    drawn = classes if whole <= most else classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * most / whole))
+    drawn = classes if whole <= most else classes.where(F.pmod(F.xxhash64("vector", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / whole))
     sample = drawn.select("vector").limit(most).toArrow().column(0).combine_chunks()
     sample = unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
     splits = [fit_tree(sample, whole, t, seed, threshold) for t in range(trees)]
@@ -192,9 +215,14 @@ def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, see
             row, leaf = row[order], leaf[order]
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary()), lists], names=["id", "copies", "vector", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed(batch.column(2), single), lists], names=["id", "copies", "vector", "leaves"])
 
-    placed = classes.select("id", "copies", "vector").mapInArrow(place, "id long, copies long, vector binary, leaves array<long>")
+    return classes.select("id", "copies", "vector").mapInArrow(place, PLACED)
+
+
+def linked_pairs(placed: DataFrame, threshold: float, single: bool) -> DataFrame:
+    """(a, b, n): edges of spanning forests (n null), and link counts of a class in one leaf (b null)."""
+    kind = np.float32 if single else np.float64
     entries = placed.withColumn("leaf", F.explode("leaves"))
     sizes = entries.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n")).where("_n > 1")
     entries = entries.join(lookup(sizes), "leaf", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
@@ -207,7 +235,7 @@ def forest_links(classes: DataFrame, dim: int, threshold: float, trees: int, see
             if group.num_rows < 2:
                 continue
             ids, side, copies = (group.column(c).to_numpy() for c in ("id", "side", "copies"))
-            x = unit(np.frombuffer(b"".join(group.column("vector").to_pylist()), kind).astype(float).reshape(group.num_rows, dim))
+            x = unit(np.frombuffer(b"".join(group.column("vector").to_pylist()), kind).astype(float).reshape(group.num_rows, -1))  # a leaf has one length
             lists = group.column("leaves").combine_chunks()
             lengths = lists.value_lengths().to_numpy()
             leaves = np.full((group.num_rows, int(lengths.max())), -1, np.int64)
