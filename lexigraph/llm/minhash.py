@@ -78,12 +78,15 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words, size, class_a, class_b, signature, bands) of each row; class_a and class_b are 128 bits of the word sequence."""
-    schema = "id long, words int, size long, class_a long, class_b long, signature binary, bands array<long>"
+    """(id, mark, words, size, class_a, class_b, signature, bands) of each row.
+
+    class_a and class_b are 128 bits of the word sequence; mark tells the texts of a repeated id apart.
+    """
+    schema = "id long, mark long, words int, size long, class_a long, class_b long, signature binary, bands array<long>"
 
     def run(batches):
         for batch in batches:
-            ids, (data, offsets) = batch.column(0), buffers(batch.column(1))
+            ids, marks, (data, offsets) = batch.column(0), batch.column(2), buffers(batch.column(1))
             for start, end in slices(offsets):
                 own = offsets[start : end + 1]
                 words, firsts = hashed(data, own)
@@ -103,16 +106,23 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(start, end - start),
+                        marks.slice(start, end - start),
                         pa.array(counts, pa.int32()),
                         pa.array(np.diff(own), pa.int64()),
                         *[pa.array(p) for p in parts],
                         pa.array([x.tobytes() for x in short], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (end - start + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel())),
                     ],
-                    names=["id", "words", "size", "class_a", "class_b", "signature", "bands"],
+                    names=["id", "mark", "words", "size", "class_a", "class_b", "signature", "bands"],
                 )
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toDF("id", "text").mapInArrow(run, schema)
+    return identified(df, id_col, text_col).mapInArrow(run, schema)
+
+
+def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, mark): a row is known by its id and, if ids repeat, by a hash of its text."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
 def in_blocks(rows: DataFrame, key: str) -> DataFrame:
@@ -228,26 +238,25 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     shingles is at least `threshold`; class_id is the smallest id among those reachable by links,
     and only the row of that id is kept. Words are runs of non-space in lower-cased text. A text of fewer than
     five words has one shingle of all its words. A text without a word (null, empty, blank)
-    links with nothing and is kept. Rows that repeat an id belong to the class together and are
-    all marked kept if the id is; if its texts differ, one of them stands for the id. A row with a null
+    links with nothing and is kept. Rows that repeat an id are classed each by its own text, and
+    marked kept if that class is named by their id; texts whose smallest id is the same are one class. A row with a null
     id takes the class of an equal text with an id, or else a null class. Other columns are not read. An empty table
     gives an empty result.
     """
     sketches = checkpointed(sketch(df, id_col, text_col))
     full = sketches.where("words > 0")
-    classes = full.groupBy("class_a", "class_b").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.min_by("signature", "id").alias("signature"), F.min_by("bands", "id").alias("bands")).where("id IS NOT NULL")
+    classes = full.groupBy("class_a", "class_b").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "mark")))["mark"].alias("mark"), F.max("signature").alias("signature"), F.max("bands").alias("bands")).where("id IS NOT NULL")
     classes = checkpointed(classes)
     # Buckets of the same members, from different bands, are one.
-    entries = classes.select("id", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.min("id").alias("first")).where("n > 1")
+    entries = classes.select("id", "mark", F.explode("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "mark").cast("decimal(20,0)")).alias("s"), F.min("id").alias("first")).where("n > 1")
     buckets = buckets.groupBy("n", "s", "first").agg(F.min("key").alias("key")).select("key")
     members = entries.join(buckets, "key")
-    wide = classes.select("id", "signature", F.lit(0).cast("long").alias("size"))
-    likely = forests(members.join(wide, "id").select("key", "id", "size", "signature"), "key", False, threshold)
+    wide = classes.select("id", "mark", "signature", F.lit(0).cast("long").alias("size"))
+    likely = forests(members.join(wide, ["id", "mark"]).select("key", "id", "size", "signature"), "key", False, threshold)
     family = checkpointed(components(likely).withColumnRenamed("component", "key"))
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    suspects = family.join(classes.select("id", "size", "signature"), "id")
-    suspects = suspects.join(texts, "id").dropDuplicates(["id"])  # a repeated id brings several texts
+    suspects = family.join(classes.select("id", "mark", "size", "signature"), "id")
+    suspects = suspects.join(identified(df, id_col, text_col), ["id", "mark"]).dropDuplicates(["id", "mark"])  # equal rows bring equal texts
     linked = components(forests(suspects.select("key", "id", "size", "signature", "text"), "key", True, threshold))
     named = classes.select("class_a", "class_b", "id").join(linked, "id", "left").select("class_a", "class_b", F.coalesce("component", "id").alias("class_id"))
     out = sketches.where("words > 0").select("id", "class_a", "class_b").join(named, ["class_a", "class_b"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
