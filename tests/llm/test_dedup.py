@@ -98,6 +98,16 @@ def test_near_on_odd_rows(odd, nothing):
     assert minhash.near_dedup(nothing).count() == 0
 
 
+def test_near_tells_texts_of_a_repeated_id_apart(spark):
+    """No link of any text of a repeated id is lost, whatever the order of rows; texts whose smallest id is the same are one class."""
+    a, b, c = prose(11, 60), prose(12, 60), prose(13, 60)
+    rows = [(5, a + " end"), (9, a), (9, b), (9, b), (12, b + " end"), (9, c), (14, c.upper()), (None, a), (9, None)]
+    for turn in (rows, rows[::-1]):
+        docs = spark.createDataFrame(turn, "doc_id long, text string")
+        got = collections.Counter(map(tuple, minhash.near_dedup(docs.repartition(3)).collect()))
+        assert got == collections.Counter([(5, 5, True), *[(9, 5, False)] * 4, (12, 5, False), (14, 5, False), (None, 5, False), (9, 9, True)])
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     """A family that is cut into blocks gives the same classes; its members are alike in part only."""
     import random

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -51,6 +52,41 @@ def test_sample_is_bounded(docs, monkeypatch):
     assert all(len(d) <= 5000 + langid.SAMPLE_CHARS * 4 for d in langid.train(docs).values())
 
 
+def test_language_matches_plain_compression(spark, docs):
+    """Each prediction again: whole text in blocks, once with each dictionary, by a compressor of its own."""
+    import zstandard
+
+    model = langid.train(docs.where(langid.remainder("doc_id", 4) != 2))
+    assert model == langid.train(docs.repartition(7).where(langid.remainder("doc_id", 4) != 2))
+    for r in langid.identify(docs, model).collect():
+        data = (r["text"] or "").lower().encode()
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        sizes = {}
+        for lang, sample in model.items():
+            cctx = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(cctx.compress(data[i : i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK))
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[r["lang_pred"]] == first and r["score"] == pytest.approx((second - first) / second) and r["rejected"] == ((second - first) / second < 0.005)
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    from .conftest import prose
+
+    drawn = lambda k, n: " ".join(random.Random(k).choices(prose(5, 300).split(), k=n))
+    rows = [(i, drawn(i, 12_000), "xx") for i in range(5)] + [(10 + i, "zu den und der die das " * 30, "de") for i in range(5)] + [(30, None, "fr"), (31, " ", "es"), (32, "text", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model) == {"xx", "de"} and len(model["xx"]) >= langid.SAMPLE_CHARS
+    assert langid.identify(spark.createDataFrame([(drawn(77, 500),)], "text string"), model).first()["lang_pred"] == "xx"
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.train(spark.range(9).selectExpr("id AS doc_id", "'text' AS text", "CAST(id % 4 AS STRING) AS lang"))
+
+
 def brute_links(rows, threshold=0.95):
     good = {}
     for k, (_, v) in enumerate(rows):
@@ -92,6 +128,38 @@ def test_vectors_match_brute_force(spark, sf_dir, monkeypatch, leaf):
         assert sorted(map(tuple, got), key=str) == expected
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    """1,100 lengths, with and without trees of their own: no vector loses its links."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim in range(1, 1101):
+        v = rng.standard_normal(dim)
+        rows += [(2 * dim, v.tolist()), (2 * dim + 1, (v * 2 + 0.001 * v[::-1]).tolist())]
+    rows += [(10_000 + k, rng.standard_normal(5).tolist()) for k in range(40)]
+    monkeypatch.setattr(forest, "PLAIN", 30)
+    got = forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_links(rows)
+
+
+def test_recall_of_planted_pairs(spark):
+    """Every end of 2,000 pairs with cosines of 0.95 to 0.99 among 12,000 vectors, some of them in dense groups."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(2000):
+        c = rng.uniform(0.9501, 0.99)
+        other = rng.standard_normal(32)
+        other -= (other @ x[k]) * x[k]
+        x[6000 + k] = c * x[k] + math.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    x[9000:9600] = x[9000] + 0.02 * rng.standard_normal((600, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.97 * near.sum() and found[:2000].sum() >= 0.97 * near[:2000].sum()
+
+
 def test_odd_vectors(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one), (2, [2.0, 4.0, 6.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, None, 3.0]), (6, [float("nan"), 1.0, 1.0]), (7, [float("inf"), 1.0, 1.0]), (8, [1.0, 2.0]), (9, one), (9, one), (None, one), (10, [-1.0, -2.0, -3.0]), (11, []), (12, [1e300, 2e300, 3e300]), (13, [0.0, -0.0, 1.0]), (14, [-0.0, 0.0, 1.0])]
@@ -125,6 +193,38 @@ def test_scores(spark, sf_dir):
     assert model > base
 
 
+def test_model_scores_match_plain_sums(docs, monkeypatch):
+    """The score of each text again, token by token: the class by its vectors, the word by its add-one share."""
+    docs = docs.coalesce(1)
+    kept = {}
+
+    def train(texts, vocabulary, plain=lbl.train):
+        kept["vocabulary"], kept["model"] = vocabulary, plain(texts, vocabulary)
+        return kept["model"]
+
+    monkeypatch.setattr(lbl, "train", train)
+    rows = {r["doc_id"]: r for r in lbl.score(docs, langid.remainder("doc_id", 7) != 2).collect()}
+    model, v = kept["model"], kept["vocabulary"]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts = collections.Counter(w for i, t in texts.items() if not held(i, 7) for w in lbl.tokens(t))
+    own = {w for w in counts if v.index.get(w, lbl.SINGLE) < lbl.SINGLE}
+    sizes = collections.Counter()
+    for w, c in counts.items():
+        if w not in own:
+            sizes[lbl.ending(w)] += c + 1
+    out, context, places, bias = (p.astype(float) for p in model.parts())
+    for i in sorted(texts)[:25]:
+        total, before, last = 0.0, 0, 0
+        for w in [*lbl.tokens(texts[i])[:400], None] if len(lbl.tokens(texts[i])) <= 400 else []:
+            k = 0 if w is None else 1 + v.index[w] if w in own else 1 + lbl.SINGLE + lbl.ending(w)
+            logits = out @ (context[last] @ places[0] + context[before] @ places[1]) + bias
+            total += (logits[k] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) / math.log(10)
+            if k > lbl.SINGLE:
+                total += math.log10((counts[w] + 1) / (sizes[lbl.ending(w)] + 1))
+            before, last = last, k
+        assert not total or rows[i]["score"] == pytest.approx(total, rel=1e-4)
+
+
 def test_scores_of_odd_rows(odd, nothing):
     rows = lbl.score(odd, langid.remainder("doc_id", 7) != 2).collect()
     assert len(rows) == 16
@@ -177,6 +277,40 @@ def test_resampling(spark, sf_dir, docs, nothing):
     assert quality.resample(nothing, labels).count() == 0
 
 
+def test_weights_match_plain_counting(spark, sf_dir, docs):
+    """Every log weight again, with whole numbers and dictionaries: words and pairs in 10,000 buckets, add-one models."""
+    from lexigraph.llm import words
+
+    mask, base, values = (1 << 64) - 1, int(words.BASE), [int(x) for x in words.VALUES]
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * int(words.M1) & mask
+        x = (x ^ (x >> 27)) * int(words.M2) & mask
+        return x ^ (x >> 31)
+
+    def word(w):
+        total, power = 0, base
+        for byte in w.encode():
+            total, power = (total + values[byte] * power) & mask, power * base & mask
+        return mixed(total)
+
+    def buckets(text):
+        hashes = [word(w) for w in (text or "").lower().split()]
+        return collections.Counter([h % 10_000 for h in hashes] + [mixed((a * base + b) & mask) % 10_000 for a, b in zip(hashes, hashes[1:], strict=False)])
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    own = {r["doc_id"]: buckets(r["text"]) for r in docs.collect()}
+    target, raw = collections.Counter(), collections.Counter()
+    for i, found in own.items():
+        raw.update(found)
+        target.update(found if i in good else {})
+    p, q = sum(target.values()) + 10_000, sum(raw.values()) + 10_000
+    for r in quality.resample(docs, labels).collect():
+        want = sum(n * (math.log((target[b] + 1) / p) - math.log((raw[b] + 1) / q)) for b, n in own[r["doc_id"]].items())
+        assert r["n_features"] == sum(own[r["doc_id"]].values()) and r["log_weight"] == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
 def test_resampling_of_odd_rows(odd, spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.resample(odd, labels).collect()
