@@ -45,3 +45,24 @@ def lookup(df: DataFrame) -> DataFrame:
     """
     df = checkpointed(df)
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+#: Places of a bitmap, as a power of two; a word of it has 64 places.
+PLACES = 26
+
+
+def place(*key: Column) -> Column:
+    return F.xxhash64(*key).bitwiseAND(F.lit((1 << PLACES) - 1))
+
+
+def bitmap(groups: DataFrame, *key: str) -> DataFrame:
+    """(_word, _bits): the places of the keys of `groups`; at most 2**(PLACES - 6) rows, whatever their number."""
+    at = groups.select(place(*map(F.col, key)).alias("_at"))
+    return at.groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")).alias("_bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
+    """`rows` with ``_alive``: whether the place of a row's key is marked."""
+    rows = rows.withColumn("_at", place(*map(F.col, key))).withColumn("_word", F.shiftright("_at", 6))
+    alive = F.expr("coalesce(shiftrightunsigned(_bits, CAST(_at & 63 AS INT)) & 1, 0) = 1")
+    return rows.join(F.broadcast(bits), "_word", "left").withColumn("_alive", alive).drop("_word", "_bits", "_at")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lookup
+from ._common import bitmap, checkpointed, lookup, marked
 
 #: A piece with fewer words is no unit of its own: it recurs by chance.
 MIN_UNIT = 5
@@ -109,8 +109,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = units(df, id_col, text_col, unit)
     first = found.groupBy("high", "low").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Only digests that recur come to the join; they are a table of its own, so that AQE can split a frequent one.
-    later = found.join(lookup(first), ["high", "low"]).where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
+    # Only digests that recur come to the join; they are a table of its own, so that AQE can split a frequent one. A
+    # bitmap of theirs keeps most other units from being shuffled.
+    first = lookup(first)
+    recurring = marked(found, checkpointed(bitmap(first, "high", "low")), "high", "low").where("_alive").drop("_alive")
+    later = recurring.join(first, ["high", "low"]).where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
     by_doc = later.groupBy("id").agg(F.collect_set(F.struct("place", "low")).alias("later"))
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(by_doc, F.col("_id") == F.col("id"), "left").select("_id", "text", "later")

@@ -70,15 +70,17 @@ def test_exact_does_not_depend_on_the_bitmap(spark, docs, monkeypatch):
     """With a bitmap of 64 places, which nearly all rows share, the groups are the same."""
     from pyspark.sql import functions as F
 
+    from lexigraph.llm import _common
+
     plain = sorted(exact.exact_dedup(docs).collect())
-    monkeypatch.setattr(exact, "PLACES", 6)
+    monkeypatch.setattr(_common, "PLACES", 6)
     monkeypatch.setattr(exact, "PREFIX_CHARS", 1)
     assert sorted(exact.exact_dedup(docs).collect()) == plain
     keys = spark.range(1000).select(F.col("id").alias("k"))
-    monkeypatch.setattr(exact, "PLACES", 12)
-    bits = exact.bitmap(keys.where("k < 50"), "k")
+    monkeypatch.setattr(_common, "PLACES", 12)
+    bits = _common.bitmap(keys.where("k < 50"), "k")
     assert bits.count() <= 64
-    alive = {r["k"] for r in exact.marked(keys, bits, "k").where("_alive").collect()}
+    alive = {r["k"] for r in _common.marked(keys, bits, "k").where("_alive").collect()}
     assert alive >= set(range(50)) and len(alive) < 100
 
 
