@@ -121,10 +121,11 @@ def parse_text(index: MatchIndex, text: str, ctr: int = 0, boundary: bool = Fals
     return parse(index, text, ctr, boundary)
 
 
-def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore", entities_only: bool = False, failfast: bool = False) -> Callable[[Column], Column]:
+def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore", entities_only: bool = False, failfast: bool = False, with_text: bool = True) -> Callable[[Column], Column]:
     """A column function that parses text to nodes and rendered text; an error is that row's, or the query's if `failfast`.
 
-    `entities_only` gives top-level entities without plain tokens or history, which is most of what is sent back.
+    `entities_only` gives top-level entities without plain tokens or history, which is most of what is sent back;
+    without `with_text`, nothing is rendered.
     """
     held, boundary = spark.sparkContext.broadcast(index), _boundary(line_breaks)
 
@@ -144,7 +145,7 @@ def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore",
                 nodes.append([(i, None, i, t.id, t.text, t.x, t.y, t.normal, t.ner, t.canon, t.type, t.ontologies, t.confidence, 0) for i, t in enumerate(found) if t.type])
             else:
                 nodes.append(None if found is None else flat_nodes(found))
-            texts.append(None if found is None else render(found))
+            texts.append(render(found) if with_text and found is not None else None)
         return pa.StructArray.from_arrays(
             [_list_of(nodes, _NODE_TYPES), pa.array(texts, pa.string()), pa.array(errors, pa.struct([("code", pa.int32()), ("message", pa.string())]))], names=["nodes", "text", "error"]
         )
@@ -153,7 +154,10 @@ def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore",
 
 
 def term_matcher(spark, terms: Sequence[str], line_breaks: str = "ignore") -> Callable[[Column], Column]:
-    """A column function that finds a constant list of terms; its index is broadcast."""
+    """A column function that finds a constant list of terms; its index is broadcast.
+
+    A text with more matches than the limit is an error of the query, which names its limit: no match is lost unseen.
+    """
     held, boundary = spark.sparkContext.broadcast(TermIndex(terms, strict=False)), _boundary(line_breaks)
 
     @F.arrow_udf(f"array<{MATCH}>")

@@ -6,13 +6,15 @@ order of statement, which later plans use wherever a first or last one counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES
 from ..sources.rdf import OWL, RDF, RDFS, SKOS, Triple
+from .storage import checkpointed
 
 SCHEMA = "source_ord int, ord long, s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_language string"
 TERM_COLUMNS = ["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_language"]
@@ -72,8 +74,8 @@ def predicate_key(p: Column) -> Column:
 def blank_values(triples: DataFrame) -> DataFrame:
     """(node, path, value): what each blank node flattens to, through all its predicates, in order of `path`."""
     spark = triples.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", max(int(spark.conf.get("spark.sql.cteRecursionLevelLimit")), MAX_FLATTEN + 2))
-    return spark.sql(
+    triples = checkpointed(triples.select("s", "s_kind", "o", "o_kind", "ord"))
+    walks = spark.sql(
         f"""
         WITH RECURSIVE walk(root, path, node, kind, depth) AS (
           SELECT s, array(ord), o, o_kind, 1 FROM {{t}} WHERE s_kind = 'blank'
@@ -85,6 +87,8 @@ def blank_values(triples: DataFrame) -> DataFrame:
         """,
         t=triples,
     )
+    with recursion(spark, MAX_FLATTEN + 2):
+        return checkpointed(walks)
 
 
 def flattened(triples: DataFrame, end: str, lower: bool = True, blanks: DataFrame | None = None) -> DataFrame:
@@ -119,16 +123,19 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, tolerant: bool =
     """(root, node, path, depth): all walks along `edges` (a, b, ord) from each root, `starts` (root) or every `a`.
 
     Walks are kept one by one, so that a node reached twice stands twice; `path` orders them depth first.
-    A cycle ends a walk if `tolerant`, and is an error otherwise, as is a walk longer than `limit`.
+    A cycle ends a walk if `tolerant`, and is an error otherwise, as is a walk longer than `limit`. Where
+    only the nodes that are reached count, `reached` does not enumerate walks.
+
+    Edges are written once, so that a step reads a table and not the plan that made them.
     """
     spark = edges.sparkSession
-    for key, most in (("spark.sql.cteRecursionLevelLimit", limit + 2), ("spark.sql.cteRecursionRowLimit", 1_000_000_000)):
-        if int(spark.conf.get(key)) < most:
-            spark.conf.set(key, most)
+    edges = checkpointed(edges.select("a", "b", "ord"))
     again = "NOT array_contains(w.seen, e.b)" if tolerant else "true"
     check = "w.depth + 1" if tolerant else f"CASE WHEN array_contains(w.seen, e.b) OR w.depth >= {limit} THEN CAST(raise_error('Cycle or depth limit in hierarchy') AS INT) ELSE w.depth + 1 END"
-    return spark.sql(
-        f"""
+    with recursion(spark, limit + 2):
+        return checkpointed(
+            spark.sql(
+                f"""
         WITH RECURSIVE walk(root, node, path, seen, depth) AS (
           SELECT s.root, e.b, array(e.ord), array(e.a, e.b), 1 FROM {{s}} s JOIN {{e}} e ON e.a = s.root WHERE e.a <> e.b OR {"false" if tolerant else "raise_error('Cycle or depth limit in hierarchy') IS NULL"}
           UNION ALL
@@ -136,13 +143,48 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, tolerant: bool =
           FROM walk w JOIN {{e}} e ON e.a = w.node WHERE {again})
         SELECT root, node, path, depth FROM walk
         """,
-        e=edges.select("a", "b", "ord"),
-        s=starts if starts is not None else edges.select(F.col("a").alias("root")).distinct(),
-    )
+                e=edges,
+                s=starts if starts is not None else edges.select(F.col("a").alias("root")).distinct(),
+            )
+        )
+
+
+@contextmanager
+def recursion(spark: SparkSession, levels: int, rows: int = 1_000_000_000) -> Iterator[None]:
+    """Limits of recursive queries that run within, put back afterwards."""
+    wanted = {"spark.sql.cteRecursionLevelLimit": levels, "spark.sql.cteRecursionRowLimit": rows}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, most in wanted.items():
+            if int(before[k]) < most:
+                spark.conf.set(k, most)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def reached(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(root, node): every node that walks along `edges` (a, b) reach from each root, once; the root itself if a cycle leads back.
+
+    Rounds of joins on what the round before found for the first time: as many as the longest of the shortest
+    ways, whatever the number of walks. Cycles need no care.
+    """
+    edges = checkpointed(edges.select("a", "b").distinct())
+    new = edges.select(F.col("a").alias("root"), F.col("b").alias("node"))
+    if starts is not None:
+        new = new.join(starts.select("root").distinct(), "root", "left_semi")
+    found = new = checkpointed(new)
+    while not new.isEmpty():
+        step = new.join(edges, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        new = checkpointed(step.join(found, ["root", "node"], "left_anti"))
+        found = checkpointed(found.union(new))
+    return found
 
 
 def schema_of(triples: DataFrame) -> DataFrame:
-    """One row: SKOS, MIXED, INDIVIDUAL or CLASS_BASED."""
+    """One row: `schema`, one of SKOS, MIXED, INDIVIDUAL or CLASS_BASED, and `blanks`, whether there are blank nodes."""
     typed = lambda o: F.max(F.when((F.col("p") == RDF + "type") & (F.col("o") == o), 1).otherwise(0))
-    flags = triples.agg(typed(SKOS + "Concept").alias("skos"), typed(OWL + "NamedIndividual").alias("named"), F.max(F.when(F.col("p") == RDFS + "subClassOf", 1).otherwise(0)).alias("sub"))
-    return flags.select(F.when(F.col("skos") == 1, "SKOS").when((F.col("named") == 1) & (F.col("sub") == 1), "MIXED").when(F.col("named") == 1, "INDIVIDUAL").otherwise("CLASS_BASED").alias("schema"))
+    blank = F.coalesce(F.bool_or((F.col("s_kind") == "blank") | (F.col("o_kind") == "blank")), F.lit(False))
+    flags = triples.agg(typed(SKOS + "Concept").alias("skos"), typed(OWL + "NamedIndividual").alias("named"), F.max(F.when(F.col("p") == RDFS + "subClassOf", 1).otherwise(0)).alias("sub"), blank.alias("blanks"))
+    return flags.select(F.when(F.col("skos") == 1, "SKOS").when((F.col("named") == 1) & (F.col("sub") == 1), "MIXED").when(F.col("named") == 1, "INDIVIDUAL").otherwise("CLASS_BASED").alias("schema"), "blanks")

@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import vocabulary
-from ..functions.text import by_length, norm
+from ..functions.text import by_length, norm, split_commas, trim
 from ..operators.matching import MatchIndex
 from ..sources import reader, turtle
-from ..sources.rdf import DEFAULT_PREFIXES, Graph
+from ..sources.rdf import DEFAULT_PREFIXES, RDFS, SKOS, Graph
 from . import graph
+from .storage import BROADCAST_ROWS, checkpointed
 from .views import Views, lookup_of, reversed_of
 
-#: Rows of a vocabulary table that the driver may hold; a larger vocabulary cannot be an in-memory index.
-MAX_VOCABULARY = 20_000_000
+#: Rows, and characters, of a vocabulary table that the driver may hold; a larger vocabulary cannot be an in-memory index.
+MAX_VOCABULARY, MAX_CHARACTERS = 20_000_000, 1 << 30
+#: Subjects of an update up to which the literals that the driver holds are patched instead of read again.
+MAX_PATCH = 10_000
 
 
 @dataclass(frozen=True)
@@ -118,10 +121,27 @@ class Ontology:
         return graph.schema_of(self.triples).first()[0]
 
     def _rows(self, df: DataFrame, *columns: str) -> list:
-        rows = df.orderBy("ord").select(*columns).limit(MAX_VOCABULARY + 1).collect()
-        if len(rows) > MAX_VOCABULARY:
-            raise EngineError(1, "The vocabulary is too large for an index")
-        return rows
+        return bounded(df.orderBy("ord").select(*columns), df.select(*columns)).collect()
+
+    @cached_property
+    def _literals(self) -> list[tuple[int, str, str, str, str | None]]:
+        """(ord, value, subject, canon, label) of every label, synonym, see-also and inflection, in order, by one job.
+
+        This is what the match index is made of; label is null where the literal is no label.
+        """
+        v, p = self.views, F.col("p")
+        rows = v.triples.where(p.isin(RDFS + "label", RDFS + "seeAlso", SKOS + "altLabel") | (graph.local(p) == "inflection"))
+        rows = graph.flattened(rows, "o", True, v.blanks).select("ord", F.col("o_value").alias("value"), "s", graph.normal(graph.local(F.col("s"))).alias("canon"), F.when(p == RDFS + "label", graph.trimmed(F.col("o"))).alias("label"))
+        return sorted(zip(*(c.to_pylist() for c in bounded(rows, rows).toArrow().columns), strict=True), key=lambda r: r[:2])
+
+    @cached_property
+    def _raw(self) -> dict[str, list[str]]:
+        """Distinct literals by canonical form."""
+        out: dict[str, dict[str, None]] = {}
+        for _, value, _, canon, _ in self._literals:
+            if value not in ("", "nil"):
+                out.setdefault(canon, {})[value] = None
+        return {k: list(v) for k, v in out.items()}
 
     @cached_property
     def synonyms(self) -> dict[str, dict]:
@@ -138,8 +158,10 @@ class Ontology:
                         into.setdefault(k, {}).update(dict.fromkeys(values))
             fwd, rev = ({k: list(v) for k, v in x.items()} for x in (fwd, rev))
             return {"lookup": vocabulary.lookup(fwd), "fwd": fwd, "rev": rev}
-        v = self.views
-        fwd = {r["canon"]: list(r["variants"]) for r in self._rows(v.forward, "canon", "variants")}
+        raw = self._raw
+        if self.options.comma_lists:
+            raw = {k: own for k, vs in raw.items() if (own := list(dict.fromkeys(x for v in vs for x in split_commas(v))))}
+        fwd = vocabulary.synonyms(raw)
         rev = vocabulary.reverse(fwd)
         if self.live:
             for canon, values in self.external.items():
@@ -159,10 +181,7 @@ class Ontology:
                 for k, rules in p.span_rules.items():
                     out.setdefault(k, []).extend(r for r in rules if r not in out.get(k, ()))
             return out
-        out = {}
-        for r in self._rows(self.views.spans, "key", "content", "canon", "distance"):
-            out.setdefault(r["key"], []).append({"content": list(r["content"]), "distance": r["distance"], "forward": True, "reverse": True, "canon": r["canon"]})
-        return out
+        return vocabulary.spans(self._raw, self.options.distance, comma_lists=self.options.comma_lists)
 
     @cached_property
     def index(self) -> MatchIndex:
@@ -172,7 +191,8 @@ class Ontology:
             entities, ner = self.view.get("entities") or (), self.view.get("ner") or {}
         else:
             entities = [r[0] for r in self._rows(self.views.entities, "entity")] if self.live else ()
-            ner = {r[0]: "NER" for r in self._rows(self.views.ner, "label")}
+            plain = not self.parts and self.views.blanks is None
+            ner = dict.fromkeys((r[4] for r in self._literals if r[4] is not None) if plain else (r[0] for r in self._rows(self.views.ner, "label")), "NER")
         y = self.synonyms
         if not y["lookup"] or not y["fwd"]:
             raise EngineError(4, "Empty ontology")
@@ -206,7 +226,30 @@ class Ontology:
                 if t.subject.value != subject or "blank" in (t.subject.kind, t.object.kind):
                     raise EngineError(2, f"A fragment may state {subject} only, without blank nodes")
                 rows.append((k, t.subject.value, t.predicate.value, t.object.value, t.object.kind, t.object.datatype, t.object.language, len(rows)))
-        return Ontology(self.spark, apply_update(self.triples, self.spark.createDataFrame(rows, "k int, s string, p string, o string, o_kind string, o_datatype string, o_language string, n int"), self.spark.createDataFrame([(s,) for s in subjects], "s string")), self.options, self.prefixes, self.external)
+        named = self.spark.createDataFrame([(s,) for s in subjects], "s string")
+        new = Ontology(self.spark, apply_update(self.triples, self.spark.createDataFrame(rows, "k int, s string, p string, o string, o_kind string, o_datatype string, o_language string, n int"), named), self.options, self.prefixes, self.external)
+        if "_literals" in self.__dict__ and len(subjects) <= MAX_PATCH and self.views.blanks is None:
+            new.__dict__["_literals"] = self._patched(rows, subjects)
+            new.views.__dict__["blanks"] = None  # a fragment has none
+        return new
+
+    def _patched(self, rows: list[tuple], subjects: list[str]) -> list[tuple]:
+        """The literals after an update, from those at hand: the triples are asked for the places of subjects only."""
+        places = self.triples.agg(F.max("ord").alias("end"), *[F.min(F.when(F.col("s") == s, F.col("ord"))) for s in subjects]).first() if len(subjects) <= 50 else None
+        if places is not None:
+            end, at = places[0], dict(zip(subjects, places[1:], strict=True))
+        else:
+            found = self.triples.join(F.broadcast(self.spark.createDataFrame([(s,) for s in subjects], "s string")), "s", "left_semi").groupBy("s").agg(F.min("ord")).collect()  # MAX_PATCH rows at most
+            end, at = self.triples.agg(F.max("ord")).first()[0], {s: o for s, o in found}
+        end = -1 if end is None else end
+        gone = set(subjects)
+        out = [(o * SPREAD, *rest) for o, *rest in self._literals if rest[1] not in gone]
+        for k, s, p, o, kind, _, _, n in rows:
+            if p in (RDFS + "label", RDFS + "seeAlso", SKOS + "altLabel") or p.rpartition("#")[2] == "inflection":
+                place = (end + 1 + n) * SPREAD if at.get(s) is None else at[s] * SPREAD + k
+                value = norm(o.rpartition("#")[2] if kind == "iri" else o)
+                out.append((place, value, s, norm(s.rpartition("#")[2]), trim(o) if p == RDFS + "label" else None))
+        return sorted(out, key=lambda r: r[:2])
 
     # Snapshots.
 
@@ -241,16 +284,29 @@ class Ontology:
             getattr(v, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+#: Places of statements are spread by this, so that a replacement's triples lie between those around its subject.
+SPREAD = 1 << 20
+
+
+def bounded(df: DataFrame, same: DataFrame) -> DataFrame:
+    """`df` to be collected, after its rows and characters (counted on `same`, in any order) were found to be within bounds."""
+    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in same.columns), F.lit(0).cast("long"))
+    n, characters = same.agg(F.count("*"), F.sum(width)).first()
+    if n > MAX_VOCABULARY or (characters or 0) > MAX_CHARACTERS:
+        raise EngineError(1, "The vocabulary is too large for an index")
+    return df
+
+
 def apply_update(triples: DataFrame, replacements: DataFrame, subjects: DataFrame) -> DataFrame:
     """`triples` without those of `subjects` (s), and with `replacements` at their subjects' first places or at the end."""
-    kept = triples.join(F.broadcast(subjects), "s", "left_anti")
-    first = triples.join(F.broadcast(subjects), "s", "left_semi").groupBy("s").agg(F.min("ord").alias("at"))
-    end = triples.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("end"))
+    subjects = checkpointed(subjects.select("s").distinct())
+    few = F.broadcast(subjects) if subjects.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else subjects
+    kept = triples.join(few, "s", "left_anti")
+    first = triples.join(few, "s", "left_semi").groupBy("s").agg(F.min("ord").alias("at"))
+    end = triples.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("end"))  # one row
     new = replacements.join(first, "s", "left").join(F.broadcast(end), F.lit(True))
-    # Places are spread, so that a replacement's triples lie between those around its subject.
-    spread = 1 << 20
-    placed = new.select(F.lit(0).alias("source_ord"), F.when(F.col("at").isNotNull(), F.col("at") * spread + F.col("k")).otherwise((F.col("end") + 1 + F.col("n")) * spread).alias("ord"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_datatype", "o_language")
-    both = kept.withColumn("ord", F.col("ord") * spread).select(*placed.columns).unionByName(placed)
+    placed = new.select(F.lit(0).alias("source_ord"), F.when(F.col("at").isNotNull(), F.col("at") * SPREAD + F.col("k")).otherwise((F.col("end") + 1 + F.col("n")) * SPREAD).alias("ord"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_datatype", "o_language")
+    both = kept.withColumn("ord", F.col("ord") * SPREAD).select(*placed.columns).unionByName(placed)
     return graph.distinct_triples(both)
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import EngineError
 
 
+#: Rows of a few narrow columns up to which a table is broadcast; beyond it, joins shuffle.
+BROADCAST_ROWS = 250_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 

@@ -16,7 +16,7 @@ from ..functions import vocabulary
 from ..functions.lazy import column_function
 from ..functions.text import split_commas
 from ..sources.rdf import OWL, RDF, RDFS, SKOS
-from .graph import blank_values, closure, flattened, has_blanks, local, normal, predicate_key, predicate_map, schema_of, trimmed
+from .graph import blank_values, flattened, local, normal, predicate_key, predicate_map, reached, schema_of, trimmed
 from .storage import checkpointed
 
 META = ["NamedIndividual", "Thing", "Class", "Ontology", "ObjectProperty", "DatatypeProperty", "AnnotationProperty"]
@@ -64,27 +64,20 @@ def reversed_of(forward: DataFrame, live: bool = False) -> DataFrame:
 
 
 def lookup_of(forward: DataFrame) -> DataFrame:
-    """(words, entry, base): entries by number of words, and those in which a leading phrase is already collapsed.
+    """(words, entry): entries by number of words, and those in which a leading phrase is already collapsed.
 
-    A phrase of n words lies within an entry of n + 1 words only if its inner words are words of the
-    entry, one or two places in (for two words: if the letters beside its space are), so each round is a join
-    on those, and then a test.
+    A phrase of n words lies within an entry of n + 1 words if it is an end of one word, the words between as
+    they are, and a beginning of another, one or two places in. All these are spelt out, some hundred for an
+    entry, and joined with the phrases as they are.
     """
     entries = forward.select(F.explode(_entries("canon", "variants")).alias("e")).select(F.col("e.n").alias("words"), F.col("e.text").alias("entry")).distinct()
     entries = checkpointed(entries)
     for n in (5, 4, 3, 2):
         source = entries.where(F.col("words") == n + 1).withColumn("w", F.split("entry", " "))
         gram = F.slice("w", 1, n)
-        grams = source.where(~F.arrays_overlap(gram, F.array(*map(F.lit, sorted(vocabulary.GRAM_STOPS))))).select(F.array_join(gram, " ").alias("gram"), gram.alias("g")).distinct()
-        if n > 2:
-            inner = lambda w, at: F.array_join(F.slice(w, at + 2, n - 2), " ")  # noqa: B023, E731
-            grams = grams.withColumn("key", inner(F.col("g"), 0))
-            probes = F.array_distinct(F.array(inner(F.col("w"), 0), inner(F.col("w"), 1)))
-        else:
-            beside = lambda w, at: F.concat(F.right(F.element_at(w, at), F.lit(1)), F.lit(" "), F.left(F.element_at(w, at + 1), F.lit(1)))
-            grams = grams.withColumn("key", beside(F.col("g"), 1))
-            probes = F.array_distinct(F.array(beside(F.col("w"), 1), beside(F.col("w"), 2)))
-        hits = source.select("entry", F.explode(probes).alias("key")).join(grams, "key").where(F.col("entry").contains(F.col("gram")))
+        grams = source.where(~F.arrays_overlap(gram, F.array(*map(F.lit, sorted(vocabulary.GRAM_STOPS))))).select(F.array_join(gram, " ").alias("gram")).distinct()
+        within = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda at: spellings(F.col("w"), at, n))))  # noqa: B023
+        hits = source.select("entry", F.explode(within).alias("gram")).join(grams, "gram")
         made = hits.select(F.replace("entry", "gram", F.replace("gram", F.lit(" "), F.lit("_"))).alias("entry"))
         made = made.select(F.size(F.split("entry", " ")).alias("words"), "entry").where("words BETWEEN 2 AND 5")
         # A round reads the one before it twice, so each is written down.
@@ -92,6 +85,15 @@ def lookup_of(forward: DataFrame) -> DataFrame:
     return entries
 
 
+def spellings(words: Column, at: Column, n: int) -> Column:
+    """Every end of the word at `at`, the n - 2 words after it, and every beginning of the next: all that a phrase of n words can be there."""
+    first, last = F.element_at(words, at), F.element_at(words, at + (n - 1))
+    ends = F.transform(F.sequence(F.lit(0), F.length(first)), lambda k: F.right(first, k))
+    starts = F.transform(F.sequence(F.lit(0), F.length(last)), lambda k: F.left(last, k))
+    inner = F.concat(F.lit(" "), F.array_join(F.slice(words, at + 1, n - 2), " "), F.lit(" ")) if n > 2 else F.lit(" ")
+    return F.flatten(F.transform(ends, lambda a: F.transform(starts, lambda b: F.concat(a, inner, b))))
+
+
 def rules_of(raw: DataFrame, distance: int = 4, plus_only: bool = False, comma_lists: bool = False) -> DataFrame:
     """(key, content, canon, distance, ord): span rules of (canon, value, ord)."""
     if comma_lists:
@@ -123,13 +125,19 @@ class Views:
     def of(self, predicate: str) -> DataFrame:
         return self.triples.where(F.col("p") == predicate)
 
+    @cached_property
+    def _shape(self) -> tuple[str, bool]:
+        """The schema, and whether there are blank nodes, by one job."""
+        row = schema_of(self.triples).first()
+        return row["schema"], bool(row["blanks"])
+
     @cached_property
     def blanks(self) -> DataFrame | None:
-        return blank_values(self.triples) if has_blanks(self.triples) else None
+        return blank_values(self.triples) if self._shape[1] else None
 
     @cached_property
     def mixed(self) -> bool:
-        return not self.class_based and schema_of(self.triples).first()[0] == "MIXED"
+        return not self.class_based and self._shape[0] == "MIXED"
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -263,7 +271,7 @@ class Views:
         """(root, node): each tagged or reachable resource with all that it reaches by subclass edges, itself included."""
         edges = self.of(RDFS + "subClassOf").select(F.col("s").alias("a"), F.col("o").alias("b"), "ord")
         nodes = edges.select("a").union(edges.select("b")).union(self.ner_tags.select("node")).distinct()
-        return closure(edges, tolerant=True).select("root", "node").union(nodes.select("a", "a")).distinct()
+        return checkpointed(reached(edges).union(nodes.select("a", "a")).distinct())
 
     @cached_property
     def ner_depth(self) -> DataFrame:

@@ -13,7 +13,7 @@ from .operators import finder as Q
 from .operators.phrases import find_phrases, phrase_table
 from .plans import graph
 from .plans.ontology import Ontology, apply_update
-from .plans.storage import spread
+from .plans.storage import checkpointed, spread
 from .plans.views import Views
 from .plans.vocabularies import CAT, CAT_SQL, GEO, GEO_SQL, catalogue, geography
 from .sources.rdf import OWL, RDFS, SKOS
@@ -45,11 +45,12 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def geo(spark: SparkSession, sf_dir: str) -> Views:
-    return Views(geography(spark, sf_dir), namespace=GEO)
+    """The views of a vocabulary; its triples are written once, as a load does, and not made anew by each plan."""
+    return Views(checkpointed(geography(spark, sf_dir)), namespace=GEO)
 
 
 def cat(spark: SparkSession, sf_dir: str) -> Views:
-    return Views(catalogue(spark, sf_dir), namespace=CAT)
+    return Views(checkpointed(catalogue(spark, sf_dir)), namespace=CAT)
 
 
 def rows(m: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -485,7 +486,7 @@ ENTITIES = "WITH " + DOC_TOKENS + ", " + WORDS + " SELECT doc_id, 'c_' || w AS c
 
 
 def _entities(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    parse = parser(spark, word_ontology(spark, sf_dir).index, entities_only=True, failfast=True, **options)
+    parse = parser(spark, word_ontology(spark, sf_dir).index, entities_only=True, failfast=True, with_text=False, **options)
     nodes = texts(spark, sf_dir).select("doc_id", F.explode(parse(F.col("text"))["nodes"]).alias("n"))
     return nodes.select("doc_id", "n.canon", "n.x", "n.y")
 
@@ -546,7 +547,7 @@ def _span_ontology(spark: SparkSession) -> Ontology:
 
 def _spans(spark: SparkSession, sf_dir: str, line_breaks: str) -> DataFrame:
     """Documents with a match of the rule, and the first place of one."""
-    parse = parser(spark, _span_ontology(spark).index, line_breaks=line_breaks, entities_only=True, failfast=True)
+    parse = parser(spark, _span_ontology(spark).index, line_breaks=line_breaks, entities_only=True, failfast=True, with_text=False)
     nodes = texts(spark, sf_dir).select("doc_id", F.explode(parse(F.col("text"))["nodes"]).alias("n"))
     return nodes.groupBy("doc_id").agg(F.min(F.least(F.col("n.y") - F.col("n.x"), F.lit(1))).alias("found"))
 

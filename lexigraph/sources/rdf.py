@@ -124,8 +124,6 @@ def _decimal(text: str) -> str | None:
         value = format(Decimal(m[2]).scaleb(int(m[3] or 0)), "f")
     except InvalidOperation:
         return None
-    if "." in m[2] and "." in value:
-        pass
     return ("-" if m[1] == "-" else "") + value
 
 
