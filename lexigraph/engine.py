@@ -17,7 +17,7 @@ from .operators import matching
 from .operators.finder import Finder
 from .operators.terms import match_terms
 from .plans import graph
-from .plans.ontology import Ontology
+from .plans.ontology import Ontology, trie
 from .sources import reader
 from .sources.rdf import Graph, Term
 
@@ -146,6 +146,11 @@ class Engine:
         return out
 
     def op_query(self, q, _) -> Any:
+        o, method = self.current(), q.get("method", "")
+        if method == "spans" and q.get("interface") != "owl":  # views that are no lists or maps of texts
+            return o.span_rules
+        if method == "trie" and q.get("interface") != "owl":
+            return o.view.get("trie") if o.view is not None else trie([r[0] for r in o._rows(o.views.sub_entities, "entity")])
         rows = Finder(self.current()).query(q.get("method", ""), *(q.get("args") or ()), interface=q.get("interface"), **(q.get("kwargs") or {}))
         return self._answer(rows)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..operators.matching import MatchIndex, Node, parse, render
+from ..operators.matching import MatchIndex, Node, exact, from_json, hierarchy, match, parse, render, spans
 from ..operators.terms import TermIndex
 from . import text as T
 from .lazy import column_function
@@ -51,6 +51,7 @@ def _strings(function: Callable[[str], str]) -> Callable[[Column], Column]:
     return column_function(F.arrow_udf, "string")(run)
 
 
+STAGES = {"exact": exact, "spans": spans, "hierarchy": hierarchy}
 _fold, _normal, _hash = _strings(T.fold), _strings(T.normal_form), _strings(lambda s: str(T.murmur64a(s.encode())))
 
 
@@ -153,6 +154,37 @@ def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore",
     return run
 
 
+def token_matcher(spark, index: MatchIndex, stage: str | None = None, ctr: int = 0, line_breaks: str = "ignore") -> Callable[[Column], Column]:
+    """A column function over prepared tokens: all stages, or one of exact, spans and hierarchy.
+
+    A token is a struct with id, text, x, y and normal; `ancestors` and `descendants` (arrays of strings), if it
+    has them, are what a hierarchy match may put in its place. The result is as that of `parser`.
+    """
+    held, boundary = spark.sparkContext.broadcast(index), _boundary(line_breaks)
+    if stage not in (None, "exact", "spans", "hierarchy"):
+        raise EngineError(2, f"Unknown token transformation: {stage}")
+
+    @F.arrow_udf(PARSED)
+    def run(tokens: pa.Array) -> pa.Array:
+        nodes, texts, errors = [], [], []
+        for own in tokens.to_pylist():
+            found, error = None, None
+            try:
+                if own is not None:
+                    start = [from_json({k: v for k, v in t.items() if v is not None}) for t in own]
+                    found = match(held.value, start, ctr, boundary) if stage is None else STAGES[stage](held.value, start, boundary)
+            except EngineError as e:
+                error = {"code": e.code, "message": e.message}
+            nodes.append(None if found is None else flat_nodes(found))
+            texts.append(None if found is None else render(found))
+            errors.append(error)
+        return pa.StructArray.from_arrays(
+            [_list_of(nodes, _NODE_TYPES), pa.array(texts, pa.string()), pa.array(errors, pa.struct([("code", pa.int32()), ("message", pa.string())]))], names=["nodes", "text", "error"]
+        )
+
+    return run
+
+
 def term_matcher(spark, terms: Sequence[str], line_breaks: str = "ignore") -> Callable[[Column], Column]:
     """A column function that finds a constant list of terms; its index is broadcast.
 

@@ -81,6 +81,8 @@ class Finder:
             return self.transitive(args[0], args[1] if len(args) > 1 else "", interface)
         if method == "ontologies":
             return self._values([p.options.name for p in self.ontology.parts or (self.ontology,)])
+        if method == "absolute_path":
+            return self.spark.createDataFrame([(self.ontology.options.directory,)], "result string")
         own: Callable | None = None
         if interface in ("owl", "data") and self.ontology.view is None:
             own = getattr(self, f"{interface}_{method}", None)
@@ -246,6 +248,12 @@ class Finder:
 
     json_types_rev = json_types
 
+    def json_entities(self) -> DataFrame:
+        """Stored in prepared views of a live ontology only."""
+        if self.ontology.view is None or "entities" not in self.ontology.view:
+            raise EngineError(4, "Unsupported ontology method: entities")
+        return self._values(list(self.ontology.view["entities"]))
+
     def json_labels(self) -> DataFrame:
         return self._map(self.table("labels"))
 

@@ -41,6 +41,7 @@ class Options:
     distance: int = 4
     interface: str = "json"
     comma_lists: bool = False
+    directory: str = ""
 
 
 def external_synonyms(text: str) -> dict[str, list[str]]:
@@ -75,7 +76,7 @@ class Ontology:
         if (path is None) == (content is None):
             raise EngineError(2, "Give either path or content")
         name = options.pop("name", None) or (os.path.splitext(os.path.basename(path))[0] if path else "ontology")
-        o = Options(name=name, **options)
+        o = Options(name=name, directory=os.path.dirname(os.path.abspath(path)) if path else "", **options)
         found = reader.read_source(reader.read_file(path) if path else content, format, o.base or (reader.file_base(path) if path else ""))
         if not isinstance(found, Graph):
             return cls(spark, None, o, view=found)

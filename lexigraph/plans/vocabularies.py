@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.rdf import OWL, RDF, RDFS, SKOS
 from .graph import facts
 
-GEO, CAT = "http://example.org/geo#", "http://example.org/cat#"
+GEO, CAT, TRADE = "http://example.org/geo#", "http://example.org/cat#", "http://example.org/trade#"
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -67,6 +67,38 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples that grow with the data: suppliers below nations, customers as individuals of nations, and blank nodes."""
+    region, nation, supplier, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier", "customer"))
+    iri = lambda kind, key: F.concat(F.lit(f"{TRADE}{kind}_"), F.col(key).cast("string"))
+    said = lambda kind, key: F.concat(F.lit(f"{kind} "), F.col(key).cast("string"))
+    r, n, s, c = iri("region", "r_regionkey"), iri("nation", "n_nationkey"), iri("supplier", "s_suppkey"), iri("customer", "c_custkey")
+    ro, no, so, co = F.col("r_regionkey") * 10, F.col("n_nationkey") * 20 + 1000, F.col("s_suppkey") * 20 + 1_000_000_000, F.col("c_custkey") * 20 + 10**15
+    up = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    b, d = iri("b", "n_nationkey"), iri("d", "n_nationkey")
+    blank = lambda df, *ends: df.withColumns({k: F.concat(F.lit("_:"), F.substring_index(e, "#", -1)) for e, k in ((x, x) for x in ends)} | {f"{e}_kind": F.lit("blank") for e in ends})
+    return _all([
+        facts(region, r, RDF + "type", F.lit(OWL + "Class"), "iri", ro),
+        facts(region, r, RDFS + "label", said("region", "r_regionkey"), "literal", ro + 1),
+        facts(nation, n, RDF + "type", F.lit(OWL + "Class"), "iri", no),
+        facts(nation, n, RDFS + "label", said("Nation", "n_nationkey"), "literal", no + 1),
+        facts(nation, n, RDFS + "subClassOf", iri("region", "n_regionkey"), "iri", no + 2),
+        blank(facts(nation, n, OWL + "disjointWith", b, "iri", no + 3), "o"),
+        blank(facts(nation, b, RDF + "first", said("Mark", "n_nationkey"), "literal", no + 4), "s"),
+        blank(facts(nation, b, RDF + "rest", d, "iri", no + 5), "s", "o"),
+        blank(facts(nation, d, RDF + "first", iri("region", "n_regionkey"), "iri", no + 6), "s"),
+        facts(supplier, s, RDF + "type", F.lit(OWL + "Class"), "iri", so),
+        facts(supplier, s, RDFS + "label", said("supplier", "s_suppkey"), "literal", so + 1),
+        facts(supplier, s, RDFS + "subClassOf", iri("nation", "s_nationkey"), "iri", so + 2),
+        facts(up, s, TRADE + "implies", iri("region", "n_regionkey"), "iri", so + 3),
+        facts(supplier, s, TRADE + "uses", iri("nation", "s_nationkey"), "iri", so + 4),
+        facts(supplier, s, TRADE + "effects", said("Effect", "s_suppkey"), "literal", so + 5),
+        facts(customer, c, RDF + "type", F.lit(OWL + "NamedIndividual"), "iri", co),
+        facts(customer, c, RDF + "type", iri("nation", "c_nationkey"), "iri", co + 1),
+        facts(customer, c, RDFS + "label", said("customer", "c_custkey"), "literal", co + 2),
+    ])
+
+
 _T = "ord, s, p, o, o_kind"
 
 #: The same triples in SQL, as common table expressions `geo` and `cat` of (ord, s, p, o, o_kind).
@@ -100,3 +132,31 @@ cat({_T}) AS (
   UNION ALL SELECT k * 10 + 5, '{CAT}' || replace(p_name, ' ', '_'), '{CAT}similarTo', '{CAT}old_' || n, 'iri' FROM product
   UNION ALL SELECT k * 10 + 6, '{CAT}' || replace(p_name, ' ', '_'), '{OWL}equivalentClass', '{CAT}old_' || n, 'iri' FROM product WHERE a = 'new'
   UNION ALL SELECT k * 10 + 7, '{CAT}' || replace(p_name, ' ', '_'), '{RDFS}comment', 'part ' || k, 'literal' FROM product))"""
+
+
+def _stated(select: str, order: str, s: str, p: str, o: str, kind: str = "iri") -> str:
+    return f"SELECT {order} AS ord, {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind {select}"
+
+
+def _trade_sql() -> str:
+    iri = lambda kind, key: f"'{TRADE}{kind}_' || {key}"
+    ro, no, so, co = "r_regionkey * 10", "n_nationkey * 20 + 1000", "s_suppkey * 20 + 1000000000", "c_custkey * 20 + 1000000000000000"
+    r, n, s, c = iri("region", "r_regionkey"), iri("nation", "n_nationkey"), iri("supplier", "s_suppkey"), iri("customer", "c_custkey")
+    cls, b, d = f"'{OWL}Class'", "'_:b_' || n_nationkey", "'_:d_' || n_nationkey"
+    rows = [
+        ("FROM region", ro, r, RDF + "type", cls), ("FROM region", ro + " + 1", r, RDFS + "label", "'region ' || r_regionkey", "literal"),
+        ("FROM nation", no, n, RDF + "type", cls), ("FROM nation", no + " + 1", n, RDFS + "label", "'Nation ' || n_nationkey", "literal"),
+        ("FROM nation", no + " + 2", n, RDFS + "subClassOf", iri("region", "n_regionkey")), ("FROM nation", no + " + 3", n, OWL + "disjointWith", b, "blank"),
+        ("FROM nation", no + " + 4", b, RDF + "first", "'Mark ' || n_nationkey", "literal"), ("FROM nation", no + " + 5", b, RDF + "rest", d, "blank"),
+        ("FROM nation", no + " + 6", d, RDF + "first", iri("region", "n_regionkey")),
+        ("FROM supplier", so, s, RDF + "type", cls), ("FROM supplier", so + " + 1", s, RDFS + "label", "'supplier ' || s_suppkey", "literal"),
+        ("FROM supplier", so + " + 2", s, RDFS + "subClassOf", iri("nation", "s_nationkey")),
+        ("FROM supplier JOIN nation ON s_nationkey = n_nationkey", so + " + 3", s, TRADE + "implies", iri("region", "n_regionkey")),
+        ("FROM supplier", so + " + 4", s, TRADE + "uses", iri("nation", "s_nationkey")), ("FROM supplier", so + " + 5", s, TRADE + "effects", "'Effect ' || s_suppkey", "literal"),
+        ("FROM customer", co, c, RDF + "type", f"'{OWL}NamedIndividual'"), ("FROM customer", co + " + 1", c, RDF + "type", iri("nation", "c_nationkey")),
+        ("FROM customer", co + " + 2", c, RDFS + "label", "'customer ' || c_custkey", "literal"),
+    ]
+    return f"trade({_T}) AS (SELECT CAST(ord AS BIGINT), s, p, o, o_kind FROM (" + " UNION ALL ".join(_stated(*x) for x in rows) + "))"
+
+
+TRADE_SQL = _trade_sql()
