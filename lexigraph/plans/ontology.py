@@ -76,7 +76,7 @@ class Ontology:
         if (path is None) == (content is None):
             raise EngineError(2, "Give either path or content")
         name = options.pop("name", None) or (os.path.splitext(os.path.basename(path))[0] if path else "ontology")
-        o = Options(name=name, directory=os.path.dirname(os.path.abspath(path)) if path else "", **options)
+        o = Options(name=name, directory=(os.path.dirname(path) or ".") if path else "", **options)
         found = reader.read_source(reader.read_file(path) if path else content, format, o.base or (reader.file_base(path) if path else ""))
         if not isinstance(found, Graph):
             return cls(spark, None, o, view=found)
@@ -101,7 +101,7 @@ class Ontology:
         for p in parts:
             for k, v in p.prefixes.items():
                 prefixes.setdefault(k, v)
-        o = Options(name, first.options.base, first.options.class_based, first.options.distance, first.options.interface, first.options.comma_lists)
+        o = Options(name, first.options.base, first.options.class_based, first.options.distance, first.options.interface, first.options.comma_lists, first.options.directory)
         return cls(first.spark, graph.merge([p.triples for p in parts]) if whole else None, o, prefixes, parts=tuple(parts))
 
     # Tables.
