@@ -31,6 +31,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df` checkpointed, as a table whose size Spark does not know.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join's estimate is the product of
+    its sides: over rounds of joins, the number gets so long that the driver spends its time multiplying. Actual
+    sizes are known to AQE all the same.
+    """
+    df, session = checkpointed(df), df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), session)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII text takes the fast path of `lower`."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import settled
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -17,17 +17,17 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     reaches the driver.
     """
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    pairs, before = checkpointed(pairs), None
+    pairs, before = settled(pairs), None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are tables of their own, so that the joins have shuffles of their own, whose hot keys AQE can split.
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # A node's own minimum replaces its edges; ends of the old edges are linked to that minimum.
-        large = checkpointed(large)
-        nearest = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = settled(large)
+        nearest = settled(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(nearest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(nearest).distinct()
-        pairs = checkpointed(small)
+        pairs = settled(small)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
