@@ -10,8 +10,8 @@ time passes the largest register, which makes a signature cost about n + m log m
 Links: documents of equal word sequences form a class, and only one of a class goes on. Banding puts
 classes into buckets; within buckets, whole signatures are compared, and classes whose estimate comes
 near the threshold form families. Within a family, the multisets themselves are compared; linked
-classes are united. Families and buckets that are too large for a task are cut into blocks, and each
-pair of blocks is a task of its own. Tasks give spanning forests of the links that they find, not pairs.
+classes are united. Families and buckets that are too large for a task are cut into blocks. One block is
+compared with all, then only what that left apart. Tasks give spanning forests of the links that they find, not pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, lookup
@@ -125,17 +125,20 @@ def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
-def in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """`rows` (key, id, size, ...) with lo, hi, side: the blocks of a group, paired.
+def n_blocks(rows: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
 
-    A group of up to BLOCK_ROWS rows and BLOCK_BYTES bytes is one task (0, 0). A larger one is cut into n
-    blocks by a hash of the id; each row goes to the n tasks that pair its block with another.
-    """
-    sizes = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).cast("int").alias("_n")).where("_n > 1")
-    cut = rows.join(lookup(sizes), key, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    cut = cut.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    cut = cut.select("*", F.least("side", "_p").alias("lo"), F.greatest("side", "_p").alias("hi")).drop("_n", "_p", "size")
-    return cut.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "id")
+
+def dealt(n: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), n).cast("int")
+
+
+def paired(rows: DataFrame, key: str, partners: Column, texts: DataFrame | None) -> DataFrame:
+    """A copy of each row of `rows` (key, id, side, ...) for each block of `partners`, next to those of that block; lo and hi name both."""
+    if texts is not None:
+        rows = rows.join(texts, ["id", "mark"]).dropDuplicates(["id", "mark"])  # equal rows bring equal texts
+    rows = rows.withColumn("_p", F.explode(partners)).select("*", F.least("side", "_p").alias("lo"), F.greatest("side", "_p").alias("hi"))
+    return rows.drop("_n", "_p", "_top", "_main", "_rest", "size", "mark").repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "id")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -162,10 +165,10 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-def forest(signature: np.ndarray, side: np.ndarray, within: bool, near: int, verify: Callable | None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows: pairs that agree in `near` registers or more and pass `verify`."""
-    n = len(signature)
-    label, out = np.arange(n), []
+def forest(signature: np.ndarray, side: np.ndarray, within: bool, near: int, verify: Callable | None, label: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among rows: pairs that agree in `near` registers or more and pass `verify`; rows of equal labels are linked already."""
+    n, out = len(signature), []
+    label = np.unique(label, return_inverse=True)[1]
     for i in range(n - 1):
         other = np.flatnonzero((label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | within)) + i + 1
         if not len(other):
@@ -180,8 +183,8 @@ def forest(signature: np.ndarray, side: np.ndarray, within: bool, near: int, ver
     return out
 
 
-def forests(rows: DataFrame, key: str, text: bool, threshold: float) -> DataFrame:
-    """(a, b): spanning forests of the links within the groups of `rows` (key, id, size, signature, text if asked for)."""
+def compared(pairs: DataFrame, key: str, text: bool, threshold: float) -> DataFrame:
+    """(a, b): spanning forests of the links within each pair of blocks."""
 
     def run(batches):
         near = int(np.ceil(NEAR * REGISTERS))
@@ -189,14 +192,43 @@ def forests(rows: DataFrame, key: str, text: bool, threshold: float) -> DataFram
             if group.num_rows < 2:
                 continue
             ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
+            label = group.column("label").to_numpy() if "label" in group.column_names else ids
             signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(group.num_rows, -1)
             verify = overlap(group.column("text").combine_chunks(), threshold) if text else None
-            pairs = forest(signature, side, group.column("lo")[0].as_py() == group.column("hi")[0].as_py(), near, verify)
+            pairs = forest(signature, side, group.column("lo")[0].as_py() == group.column("hi")[0].as_py(), near, verify, label)
             if pairs:
                 a, b = np.array(pairs).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
-    return in_blocks(rows, key).mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def forests(rows: DataFrame, key: str, threshold: float, texts: DataFrame | None = None) -> DataFrame:
+    """(a, b): spanning forests of the links within the groups of `rows` (key, id, size, signature; mark if `texts` are to be compared).
+
+    A group of up to BLOCK_ROWS rows and BLOCK_BYTES bytes is one task. A larger one is dealt to blocks by a hash of
+    the id and goes in two passes. The first compares one block with all. The second takes up what the first
+    left apart: members outside the largest component of their group meet each other and that component, whose
+    members do not meet each other again. Every link between components is tried, and a group whose
+    members are mostly copies of one text costs in proportion to its rows.
+    """
+    large = lookup(rows.groupBy(key).agg(n_blocks(F.count("*"), F.sum("size")).alias("_n")).where("_n > 1"))
+    cut = rows.join(large, key, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("side", dealt(F.col("_n")))
+    every = F.sequence(F.lit(0), F.col("_n") - 1)
+    first = compared(paired(cut, key, F.when(F.col("side") == 0, every).otherwise(F.array(F.lit(0))), texts), key, texts is not None, threshold)
+    if large.isEmpty():
+        return first
+    first = checkpointed(first)
+    known = components(first).withColumnRenamed("component", "label")
+    rest = rows.join(large.drop("_n"), key, "left_semi").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = checkpointed(rest)
+    shares = rest.groupBy(key, "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    tops = shares.groupBy(key).agg(F.max(F.struct("n", "s", "label")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > top.n")
+    tops = tops.select(key, F.col("top.label").alias("_top"), n_blocks(F.col("top.n"), F.col("top.s")).alias("_main"), n_blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("_rest"))
+    top, main = F.col("label") == F.col("_top"), F.col("_main")
+    cut = rest.join(lookup(tops), key).withColumn("side", F.when(top, dealt(main)).otherwise(main + dealt(F.col("_rest"))))
+    partners = F.sequence(F.when(F.col("side") < main, main).otherwise(F.lit(0)), main + F.col("_rest") - 1)
+    return first.union(compared(paired(cut, key, partners, texts), key, texts is not None, threshold))
 
 
 def overlap(texts: pa.Array, threshold: float) -> Callable:
@@ -253,11 +285,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     buckets = buckets.groupBy("n", "s", "first").agg(F.min("key").alias("key")).select("key")
     members = entries.join(buckets, "key")
     wide = classes.select("id", "mark", "signature", F.lit(0).cast("long").alias("size"))
-    likely = forests(members.join(wide, ["id", "mark"]).select("key", "id", "size", "signature"), "key", False, threshold)
+    likely = forests(members.join(wide, ["id", "mark"]).select("key", "id", "size", "signature"), "key", threshold)
     family = checkpointed(components(likely).withColumnRenamed("component", "key"))
     suspects = family.join(classes.select("id", "mark", "size", "signature"), "id")
-    suspects = suspects.join(identified(df, id_col, text_col), ["id", "mark"]).dropDuplicates(["id", "mark"])  # equal rows bring equal texts
-    linked = components(forests(suspects.select("key", "id", "size", "signature", "text"), "key", True, threshold))
+    linked = components(forests(suspects, "key", threshold, identified(df, id_col, text_col)))
     named = classes.select("class_a", "class_b", "id").join(linked, "id", "left").select("class_a", "class_b", F.coalesce("component", "id").alias("class_id"))
     out = sketches.where("words > 0").select("id", "class_a", "class_b").join(named, ["class_a", "class_b"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     out = out.union(sketches.where("words = 0").select("id", F.col("id").alias("class_id")))

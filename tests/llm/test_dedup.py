@@ -90,6 +90,29 @@ def test_near_matches_brute_force(docs):
     assert got == classes(rows)
 
 
+def test_near_compares_large_families_in_two_passes(spark, monkeypatch):
+    """Families of many blocks give the classes of brute force, whether the first block unites them or not."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    r = np.random.default_rng(3)
+    rows = []
+    for family in range(3):
+        base = prose(40 + family, 150).split()
+        for k in range(60):
+            own = list(base)
+            for at in r.choice(150, size=(1, 2, 4)[family] if k % 4 else 3, replace=False):
+                own[at] = f"w{family}x{k}x{at}"
+            rows.append((1000 * family + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    passes = []
+    compared = minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda pairs, *a: passes.append(pairs.count()) or compared(pairs, *a))
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_dedup(docs).collect()}
+    expected = classes(rows)
+    assert got == expected
+    sizes = collections.Counter(expected.values())
+    assert max(sizes.values()) >= 40 and len(sizes) > 5 and len(passes) == 4  # both passes, of buckets and of families
+
+
 def test_near_on_odd_rows(odd, nothing):
     got = collections.Counter(map(tuple, minhash.near_dedup(odd).collect()))
     by_id = {r[0]: r for r in got}
@@ -147,6 +170,14 @@ def test_signatures_do_not_depend_on_company():
     assert (alone[0] == both[0]).all()
 
 
+def test_components_of_many_rounds(spark):
+    """The driver's work in a round does not grow with the rounds before."""
+    from pyspark.sql import functions as F
+
+    chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(401)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (7, 7), (None, 3), (200, 100)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
