@@ -133,10 +133,11 @@ def dealt(n: Column) -> Column:
     return F.pmod(F.xxhash64("id"), n).cast("int")
 
 
-def paired(rows: DataFrame, key: str, partners: Column, texts: DataFrame | None) -> DataFrame:
+def paired(rows: DataFrame, key: str, partners: Column, more: DataFrame) -> DataFrame:
     """A copy of each row of `rows` (key, id, side, ...) for each block of `partners`, next to those of that block; lo and hi name both."""
-    if texts is not None:
-        rows = rows.join(texts, ["id", "mark"]).dropDuplicates(["id", "mark"])  # equal rows bring equal texts
+    rows = rows.join(more, ["id", "mark"])
+    if "text" in more.columns:
+        rows = rows.dropDuplicates(["id", "mark"])  # equal rows bring equal texts
     rows = rows.withColumn("_p", F.explode(partners)).select("*", F.least("side", "_p").alias("lo"), F.greatest("side", "_p").alias("hi"))
     return rows.drop("_n", "_p", "_top", "_main", "_rest", "size", "mark").repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "id")
 
@@ -183,8 +184,9 @@ def forest(signature: np.ndarray, side: np.ndarray, within: bool, near: int, ver
     return out
 
 
-def compared(pairs: DataFrame, key: str, text: bool, threshold: float) -> DataFrame:
+def compared(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
     """(a, b): spanning forests of the links within each pair of blocks."""
+    text = "text" in pairs.columns
 
     def run(batches):
         near = int(np.ceil(NEAR * REGISTERS))
@@ -203,9 +205,10 @@ def compared(pairs: DataFrame, key: str, text: bool, threshold: float) -> DataFr
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def forests(rows: DataFrame, key: str, threshold: float, texts: DataFrame | None = None) -> DataFrame:
-    """(a, b): spanning forests of the links within the groups of `rows` (key, id, size, signature; mark if `texts` are to be compared).
+def forests(rows: DataFrame, key: str, more: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges that unite what links unite within the groups of `rows` (key, id, mark, size).
 
+    `more` (id, mark, signature, and text if texts are to be compared) is joined to rows only when they go to their tasks.
     A group of up to BLOCK_ROWS rows and BLOCK_BYTES bytes is one task. A larger one is dealt to blocks by a hash of
     the id and goes in two passes. The first compares one block with all. The second takes up what the first
     left apart: members outside the largest component of their group meet each other and that component, whose
@@ -215,20 +218,23 @@ def forests(rows: DataFrame, key: str, threshold: float, texts: DataFrame | None
     large = lookup(rows.groupBy(key).agg(n_blocks(F.count("*"), F.sum("size")).alias("_n")).where("_n > 1"))
     cut = rows.join(large, key, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("side", dealt(F.col("_n")))
     every = F.sequence(F.lit(0), F.col("_n") - 1)
-    first = compared(paired(cut, key, F.when(F.col("side") == 0, every).otherwise(F.array(F.lit(0))), texts), key, texts is not None, threshold)
+    first = compared(paired(cut, key, F.when(F.col("side") == 0, every).otherwise(F.array(F.lit(0))), more), key, threshold)
     if large.isEmpty():
         return first
-    first = checkpointed(first)
-    known = components(first).withColumnRenamed("component", "label")
+    known = checkpointed(components(first).withColumnRenamed("component", "label"))
+    united = known.select(F.col("id").alias("a"), F.col("label").alias("b"))
     rest = rows.join(large.drop("_n"), key, "left_semi").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
     rest = checkpointed(rest)
     shares = rest.groupBy(key, "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     tops = shares.groupBy(key).agg(F.max(F.struct("n", "s", "label")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > top.n")
     tops = tops.select(key, F.col("top.label").alias("_top"), n_blocks(F.col("top.n"), F.col("top.s")).alias("_main"), n_blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("_rest"))
     top, main = F.col("label") == F.col("_top"), F.col("_main")
-    cut = rest.join(lookup(tops), key).withColumn("side", F.when(top, dealt(main)).otherwise(main + dealt(F.col("_rest"))))
+    tops = lookup(tops)
+    if tops.isEmpty():
+        return united
+    cut = rest.join(tops, key).withColumn("side", F.when(top, dealt(main)).otherwise(main + dealt(F.col("_rest"))))
     partners = F.sequence(F.when(F.col("side") < main, main).otherwise(F.lit(0)), main + F.col("_rest") - 1)
-    return first.union(compared(paired(cut, key, partners, texts), key, texts is not None, threshold))
+    return united.union(compared(paired(cut, key, partners, more), key, threshold))
 
 
 def overlap(texts: pa.Array, threshold: float) -> Callable:
@@ -283,12 +289,12 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     entries = classes.select("id", "mark", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "mark").cast("decimal(20,0)")).alias("s"), F.min("id").alias("first")).where("n > 1")
     buckets = buckets.groupBy("n", "s", "first").agg(F.min("key").alias("key")).select("key")
-    members = entries.join(buckets, "key")
-    wide = classes.select("id", "mark", "signature", F.lit(0).cast("long").alias("size"))
-    likely = forests(members.join(wide, ["id", "mark"]).select("key", "id", "size", "signature"), "key", threshold)
+    members = checkpointed(entries.join(buckets, "key").withColumn("size", F.lit(0).cast("long")))
+    likely = forests(members, "key", classes.select("id", "mark", "signature"), threshold)
     family = checkpointed(components(likely).withColumnRenamed("component", "key"))
-    suspects = family.join(classes.select("id", "mark", "size", "signature"), "id")
-    linked = components(forests(suspects, "key", threshold, identified(df, id_col, text_col)))
+    suspects = checkpointed(family.join(classes.select("id", "mark", "size"), "id"))
+    texts = classes.select("id", "mark", "signature").join(identified(df, id_col, text_col), ["id", "mark"])
+    linked = components(forests(suspects, "key", texts, threshold))
     named = classes.select("class_a", "class_b", "id").join(linked, "id", "left").select("class_a", "class_b", F.coalesce("component", "id").alias("class_id"))
     out = sketches.where("words > 0").select("id", "class_a", "class_b").join(named, ["class_a", "class_b"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     out = out.union(sketches.where("words = 0").select("id", F.col("id").alias("class_id")))
