@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -175,7 +176,7 @@ def test_components_of_many_rounds(spark):
     from pyspark.sql import functions as F
 
     chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(401)}
+    assert {tuple(r) for r in components(chain, block=2).collect()} == {(i, 0) for i in range(401)}
 
 
 def test_components(spark):
@@ -185,6 +186,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_blocks(spark):
+    """Blocks of a few edges, whose stars are joined in rounds, give what one block gives; a hub and repeated edges among them."""
+    r = random.Random(3)
+    edges = [(r.randrange(-50, 300), r.randrange(-50, 300)) for _ in range(220)] + [(999, i) for i in range(400, 460)] * 2
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {(x, find(x)) for e in edges if e[0] != e[1] for x in e}
+    table = spark.createDataFrame([*edges, (None, 5), (7, None)], "a long, b long")
+    for block in (16, 100, 1 << 18):
+        got = [tuple(x) for x in components(table, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+
 def plainly_removed(rows, unit, least=25):
     """Units and removed units of each text, one rule at a time, with sets of strings."""
     seen, out = set(), {}
