@@ -112,3 +112,27 @@ def test_every_query_has_its_columns(spark, sf_dir):
         key = lambda r: tuple(map(str, r))
         assert sorted(columns) == sorted(got.columns)
         assert sorted(map(key, got.select(*columns).collect())) == sorted(map(key, c.fetchall())), name
+
+
+def same_as_sql(spark, folder, *names):
+    import duckdb
+
+    from lexigraph import queries as Q
+
+    con = duckdb.connect()
+    for t in ("benchmark", "documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    for name in names:
+        got, c = Q.QUERIES[name](spark, str(folder)), con.execute(Q.ORACLE[name])
+        columns = [x[0] for x in c.description]
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(key, got.select(*columns).collect())) == sorted(map(key, c.fetchall())), name
+
+
+def test_a_letter_before_a_word_is_no_part_of_it(spark, tmp_path):
+    """`c` and a word of the vocabulary, side by side or near each other, are not the name of the word's class."""
+    text = "c abcdefghij or \u00c7 abcdefghij, abcdefghij x c"
+    spark.createDataFrame([(1, "abcdefghij")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, text)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    same_as_sql(spark, tmp_path, "parse_entities", "source_entities", "render", "stream_parse")
