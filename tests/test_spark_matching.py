@@ -129,6 +129,16 @@ def same_as_sql(spark, folder, *names):
         assert sorted(map(key, got.select(*columns).collect())) == sorted(map(key, c.fetchall())), name
 
 
+def test_passages_in_a_row_count_as_in_sql(spark, tmp_path):
+    """Of passages in a row, which share the space between them, every other one counts; those apart all count."""
+    p = "red fox jumps over dogs."
+    spark.createDataFrame([(0, p), (1, "blue sky")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, p), (2, f"{p} {p}"), (3, f"x {p}\n{p} {p}  {p}{p} y"), (4, f"{p} and {p}, {p} {p} end"), (5, f"{p} blue sky {p} Blue  Sky"), (6, "nothing")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, "x")], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    same_as_sql(spark, tmp_path, "match_terms_benchmark", "match_phrases_benchmark")
+
+
 def test_a_letter_before_a_word_is_no_part_of_it(spark, tmp_path):
     """`c` and a word of the vocabulary, side by side or near each other, are not the name of the word's class."""
     text = "c abcdefghij or \u00c7 abcdefghij, abcdefghij x c"
