@@ -136,3 +136,15 @@ def test_sweeps():
     with pytest.raises(EngineError):
         M.match(index(COURSES), [], -1001)
     assert M.match(index(COURSES), [], 2) == []
+
+
+def test_rules_that_share_a_key_are_not_all_looked_at(monkeypatch):
+    """With many rules of one key, a text costs those whose rarest word it has; all of them are still found."""
+    n, looked, window = 2000, [], M.span_window
+    ix = index({f"supplier_{k}": [f"supplier {k}"] for k in range(n)})
+    assert all(found(ix, f"{k} w w supplier") == [(f"supplier_{k}", f"{k} w w supplier", "spans")] for k in range(n))
+    assert [t[0] for t in found(ix, "7 supplier 12 w supplier w 3")] == ["supplier_12", "supplier_3"]
+    monkeypatch.setattr(M, "span_window", lambda *a: looked.append(a) or window(*a))
+    own = list(ix.rules_in({"supplier": [1], "5": [0], "w": [2]}))
+    assert [r.canon for r, _ in own] == ["supplier_5"]
+    assert found(ix, "5 supplier") and len(looked) <= 2
