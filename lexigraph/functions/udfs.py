@@ -5,9 +5,10 @@ Results are built as Arrow arrays, column by column, so that no row passes as an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,42 @@ def _list_of(rows: Sequence[Sequence[tuple] | None], fields: list[tuple[str, pa.
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([row is None for row in rows]))
 
 
+#: Size and rows of what is worked on at once, whatever the batches: bytes of text, or elements of lists. In Python, tokens are some hundred times their text.
+PART_SIZE, PART_ROWS = 1 << 19, 1 << 10
+
+
+def parts(batch: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a batch of texts or lists, each of a bounded size, or of one row."""
+    sizes = pc.list_value_length(batch) if pa.types.is_nested(batch.type) else pc.binary_length(batch)
+    start, size = 0, 0
+    for i, n in enumerate(sizes.fill_null(0).to_pylist()):
+        if i > start and (size + n > PART_SIZE or i - start >= PART_ROWS):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < len(batch):
+        yield batch.slice(start)
+
+
+def by_parts(function: Callable[[pa.Array], pa.Array]) -> Callable:
+    """A function of a column as one over its batches, done part by part, so that memory does not grow with batches."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return (function(part) for batch in batches for part in parts(batch))
+
+    return run
+
+
+def once_each(function: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """`function` of texts, equal ones of a part being worked on once."""
+
+    def run(text: pa.Array) -> pa.Array:
+        coded = text.dictionary_encode(null_encoding="encode")
+        return function(text) if 2 * len(coded.dictionary) > len(text) else function(coded.dictionary).take(coded.indices)
+
+    return run
+
+
 def _strings(function: Callable[[str], str]) -> Callable[[Column], Column]:
     """A string function as a column function; equal strings of a batch are computed once."""
 
@@ -82,6 +119,8 @@ def _scanned(text: pa.Array) -> tuple[list[int], list[list]]:
 
 
 @column_function(F.arrow_udf, f"array<{TOKEN}>")
+@by_parts
+@once_each
 def tokenize(text: pa.Array) -> pa.Array:
     ends, (texts, xs, ys, normals) = _scanned(text)
     ids = [T.token_id(texts[k], k - a) for a, b in zip(ends, ends[1:], strict=False) for k in range(a, b)]
@@ -90,6 +129,8 @@ def tokenize(text: pa.Array) -> pa.Array:
 
 
 @column_function(F.arrow_udf, "struct<words:array<string>,x:array<int>,y:array<int>,line:array<int>>")
+@by_parts
+@once_each
 def visible(text: pa.Array) -> pa.Array:
     """Normal forms and offsets of the tokens that take a place in phrases, and the number of line breaks before each."""
     ends, columns = [0], [[], [], [], []]
@@ -132,6 +173,8 @@ def parser(spark, index: MatchIndex, ctr: int = 0, line_breaks: str = "ignore",
     held, boundary = spark.sparkContext.broadcast(index), _boundary(line_breaks)
 
     @F.arrow_udf(PARSED)
+    @by_parts
+    @once_each
     def run(text: pa.Array) -> pa.Array:
         nodes, texts, errors = [], [], []
         for t in text.to_pylist():
@@ -166,6 +209,7 @@ def token_matcher(spark, index: MatchIndex, stage: str | None = None, ctr: int =
         raise EngineError(2, f"Unknown token transformation: {stage}")
 
     @F.arrow_udf(PARSED)
+    @by_parts
     def run(tokens: pa.Array) -> pa.Array:
         nodes, texts, errors = [], [], []
         for own in tokens.to_pylist():
@@ -196,6 +240,8 @@ def term_matcher(spark, terms: Sequence[str], line_breaks: str = "ignore", place
     fields = [(f, pa.int32()) for f in (("term", "x", "y", "pos", "n") if places else ("term", "x", "y"))]
 
     @F.arrow_udf(f"array<{PLACED if places else MATCH}>")
+    @by_parts
+    @once_each
     def find(text: pa.Array) -> pa.Array:
         own = lambda t: held.value.places(t, boundary) if places else held.value.find(t, boundary)
         return _list_of([None if t is None else own(t) for t in text.to_pylist()], fields)
@@ -204,9 +250,17 @@ def term_matcher(spark, terms: Sequence[str], line_breaks: str = "ignore", place
 
 
 @column_function(F.arrow_udf, f"array<{MATCH}>")
-def match_terms(text: pa.Array, terms: pa.Array) -> pa.Array:
+def match_terms(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Finds each row's own terms in its text; rows with equal terms share an index."""
     indexes: dict[tuple, TermIndex] = {}
+    for text, terms in batches:
+        at = 0
+        for part in parts(text):
+            yield _row_terms(part, terms.slice(at, len(part)), indexes)
+            at += len(part)
+
+
+def _row_terms(text: pa.Array, terms: pa.Array, indexes: dict[tuple, TermIndex]) -> pa.Array:
     out: list = []
     for t, own in zip(text.to_pylist(), terms.to_pylist(), strict=True):
         if t is None or own is None:

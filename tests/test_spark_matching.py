@@ -146,3 +146,18 @@ def test_a_letter_before_a_word_is_no_part_of_it(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, text)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     same_as_sql(spark, tmp_path, "parse_entities", "source_entities", "render", "stream_parse")
+
+
+def test_batches_are_worked_on_by_parts(monkeypatch):
+    """Few texts at a time however large the batch, each distinct one once; nulls, empty and repeated texts keep their places."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(U, "PART_SIZE", 20)
+    batch = pa.array(["a b c", None, "", "a b c", "x" * 50, "y", None, *["z z"] * 20])
+    assert [len(p) for p in U.parts(batch)] == [4, 1, 8, 6, 6, 2] and [x for p in U.parts(batch) for x in p.to_pylist()] == batch.to_pylist()
+    assert [x for p in U.parts(pa.array([[1] * 15, None, [1] * 9, []])) for x in p.to_pylist()] == [[1] * 15, None, [1] * 9, []]
+    seen = []
+    plain = lambda text: pa.array([None if t is None else [t, t] for t in text.to_pylist()], pa.list_(pa.string()))
+    run = U.by_parts(U.once_each(lambda text: seen.append(len(text)) or plain(text)))
+    assert [x for p in run(iter([batch])) for x in p.to_pylist()] == plain(batch).to_pylist()
+    assert max(seen) <= 4 and seen[-1] == 1
