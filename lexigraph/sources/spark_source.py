@@ -18,9 +18,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import EngineError
 from ..plans.graph import SCHEMA
+from ..plans.storage import spread
 from . import reader
 from .rdf import MAX_BYTES, Graph
 
+#: Triples from which a batch is passed on.
+BATCH = 10_000
+
 FORMATS = {"turtle": "turtle", "ontology-json": "json", "ontology-jsonl": "jsonl"}
 
 
@@ -65,18 +69,27 @@ def read_triples(spark: SparkSession, paths: str | list[str], format: str | None
 def triples_of(df: DataFrame, id_col: str, text_col: str, format: str | None = None, base: str = "") -> DataFrame:
     """(id_col, and the columns of a triples table) of a column of sources; a null source states nothing."""
 
+    types = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 7]
+    names = ["_id", *[x.split()[0] for x in SCHEMA.split(", ")]]
+
+    def of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
     def run(batches):
+        rows: list[tuple] = []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = Graph() if text is None else reader.read_source(text, format, base)
                 if not isinstance(found, Graph):
                     raise EngineError(2, "A snapshot is not a source of triples")
-                columns = list(zip(*rows_of(found), strict=True)) or [()] * 9
-                types = [pa.int32(), pa.int64(), *[pa.string()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(columns[0]), kind), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["_id", *[x.split()[0] for x in SCHEMA.split(", ")]])
-
-    rows = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string"))
-    kind = pa.string()
+                rows += ((key, *r) for r in rows_of(found))
+                if len(rows) >= BATCH:  # small sources share a batch
+                    yield of(rows)
+                    rows = []
+        if rows:
+            yield of(rows)
+
+    rows = spread(df).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, f"_id string, {SCHEMA}").withColumn("_id", F.col("_id").cast(df.schema[id_col].dataType)).withColumnRenamed("_id", id_col)
 
 

@@ -123,3 +123,16 @@ def test_large_files_are_errors(spark, tmp_path, monkeypatch):
     assert spark_source.read_triples(spark, str(tmp_path / "a.ttl")).count() == 1
     with pytest.raises(Exception, match="Source exceeds 256 MiB input limit"):
         spark_source.read_triples(spark, str(tmp_path)).collect()
+
+
+def test_small_sources_are_dealt_out(spark):
+    """Sources in one partition are read on all cores, null ones state nothing, and those of several batches are all there."""
+    from pyspark.sql import functions as F
+
+    from lexigraph.sources.spark_source import triples_of
+
+    df = spark.range(0, 12_000, 1, 1).select("id", F.when(F.col("id") % 100 != 7, F.concat(F.lit("<http://a/"), F.col("id").cast("string"), F.lit("> <http://p> 'x', 'y' ."))).alias("text"))
+    t = triples_of(df, "id", "text", "turtle")
+    assert t.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    got = t.select("id", "ord", "s", "o").collect()
+    assert sorted(map(tuple, got)) == [(i, k, f"http://a/{i}", "xy"[k]) for i in range(12_000) if i % 100 != 7 for k in (0, 1)]
