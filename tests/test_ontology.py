@@ -186,3 +186,11 @@ def test_views_write(zoo, tmp_path, spark):
 
 def test_trie():
     assert trie([]) is None and trie(["a_b_c", "a_d_e", "x"])["3"] == {"a": {"b": ["c"], "d": ["e"]}}
+
+
+def test_catalogue_groups_parts_once(spark, sf_dir):
+    """The facts of products come from a table that is written once, not from a scan and a grouping of parts for each kind."""
+    from lexigraph.plans.vocabularies import catalogue
+
+    plan = catalogue(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "parquet" not in plan
