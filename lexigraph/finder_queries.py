@@ -305,7 +305,7 @@ def line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases across a line end are found, or not where line ends are boundaries; then the noun alone is."""
     index, out = products(spark, sf_dir).index, []
     for mode in ("ignore", "boundary"):
-        parse = parser(spark, index, line_breaks=mode, failfast=True)
+        parse = parser(spark, index, line_breaks=mode, entities_only=True, failfast=True, with_text=False)
         for kind, sep in (("space", " "), ("break", "\n")):
             parsed = spread(table(spark, sf_dir, "part")).select(F.lit(mode).alias("mode"), "p_partkey", F.lit(kind).alias("kind"), parse(F.replace("p_name", F.lit(" "), F.lit(sep))).alias("parsed"))
             out.append(entities(parsed, "mode", "p_partkey", "kind").select("mode", "p_partkey", "kind", "canon", "x", "y"))
@@ -319,7 +319,7 @@ _SPAN = "WITH q AS (SELECT s_suppkey AS k, unnest(range(0, 6)) AS gap FROM suppl
 def span_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule's words in turned order, with none to five words between: the window and its offsets."""
     o = Ontology.from_triples(checkpointed(trade(spark, sf_dir).where("s LIKE '%supplier_%'")), name="trade", class_based=True)
-    parse = parser(spark, o.index, failfast=True)
+    parse = parser(spark, o.index, entities_only=True, failfast=True, with_text=False)
     t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<bigint>")).alias("gap"))
     text = F.concat(F.lit("x "), F.col("k").cast("string"), F.expr("repeat(' w', CAST(gap AS INT))"), F.lit(" supplier end"))
     return entities(spread(t).select("k", "gap", parse(text).alias("parsed")), "k", "gap").select("k", "gap", "canon", "type", "x", "y")
@@ -363,6 +363,6 @@ def update_then_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     o.index  # noqa: B018  the handle before the update has been used
     names = [r["s"] for r in t.select("s").collect()]  # edits by hand: some dozens
     new = o.update({f"{CAT}scarlet": f"<{CAT}scarlet> <{RDFS}label> " + ", ".join(f'"{s.rpartition("#")[2].replace("_", " ")}"' for s in names if "#red_" in s) + " ."}, [s for s in names if "#red_" in s or "#old_" in s])
-    parse = parser(spark, new.index, failfast=True)
+    parse = parser(spark, new.index, entities_only=True, failfast=True, with_text=False)
     parts = spread(table(spark, sf_dir, "part").select("p_name").distinct())
     return entities(parts.select("p_name", parse(F.col("p_name")).alias("parsed")), "p_name").select("p_name", "canon")
