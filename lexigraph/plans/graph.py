@@ -37,6 +37,17 @@ def facts(df: DataFrame, subject: Column, predicate: str, obj: Column, kind: str
     return out.where("s IS NOT NULL AND o IS NOT NULL")
 
 
+def stated(df: DataFrame, subject: Column, order: Column, *said: tuple[str, Column, str]) -> DataFrame:
+    """`facts` of (predicate, object, kind) at places from `order` on, for a table that is read once for all of them."""
+    null = F.lit(None).cast("string")
+    each = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("kind")) for i, (p, o, kind) in enumerate(said)]
+    out = df.select(order.cast("long").alias("first"), subject.cast("string").alias("s"), F.explode(F.array(*each)).alias("f")).select(
+        F.lit(0).alias("source_ord"), (F.col("first") + F.col("f.i")).alias("ord"), "s", F.lit("iri").alias("s_kind"), "f.p",
+        "f.o", F.col("f.kind").alias("o_kind"), null.alias("o_datatype"), null.alias("o_language"),
+    )
+    return out.where("s IS NOT NULL AND o IS NOT NULL")
+
+
 def distinct_triples(triples: DataFrame) -> DataFrame:
     """Equal triples once, at their first position; with map-side combine, which dropDuplicates by order has not."""
     keyed = triples.groupBy(*TERM_COLUMNS).agg(F.min(F.struct("source_ord", "ord")).alias("first"))
@@ -58,7 +69,7 @@ def local(iri: Column) -> Column:
 
 
 def trimmed(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(s, F.lit(SPACES))  # a regular expression would look for the end at each character
 
 
 def normal(s: Column, lower: bool = True, collapse: bool = False) -> Column:
@@ -74,7 +85,8 @@ def predicate_key(p: Column) -> Column:
 def blank_values(triples: DataFrame) -> DataFrame:
     """(node, path, value): what each blank node flattens to, through all its predicates, in order of `path`."""
     spark = triples.sparkSession
-    triples = checkpointed(triples.select("s", "s_kind", "o", "o_kind", "ord"))
+    # Walks go on from blank nodes only, so that each round reads these and not the whole table.
+    triples = checkpointed(triples.where("s_kind = 'blank' OR startswith(s, '_:')").select("s", "s_kind", "o", "o_kind", "ord"))
     walks = spark.sql(
         f"""
         WITH RECURSIVE walk(root, path, node, kind, depth) AS (

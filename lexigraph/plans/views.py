@@ -6,9 +6,11 @@ runs in Python, in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,42 +19,73 @@ from ..functions.lazy import column_function
 from ..functions.text import split_commas
 from ..sources.rdf import OWL, RDF, RDFS, SKOS
 from .graph import blank_values, flattened, local, normal, predicate_key, predicate_map, reached, schema_of, trimmed
-from .storage import checkpointed
+from .storage import BROADCAST_ROWS, checkpointed
 
 META = ["NamedIndividual", "Thing", "Class", "Ontology", "ObjectProperty", "DatatypeProperty", "AnnotationProperty"]
 CUSTOM = ["effects", "requires", "similarTo", "implies", "uses"]
 BY_LENGTH = lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
-@column_function(F.pandas_udf, "array<string>")
-def _variants(literals: pd.Series) -> pd.Series:
-    return literals.map(lambda v: vocabulary.variants([] if v is None else v))
+#: Rows of a batch that are Python objects at once.
+PART_ROWS = 1 << 10
+STRINGS = pa.list_(pa.string())
 
 
-@column_function(F.pandas_udf, "array<struct<n:int,text:string>>")
-def _entries(canon: pd.Series, forms: pd.Series) -> pd.Series:
-    return pd.Series([[{"n": n, "text": t} for n, t in vocabulary.base_entries(c, f)] for c, f in zip(canon, forms, strict=True)])
+def objects(column: pa.Array) -> list:
+    """The values of strings, or of lists of them, in one piece and not one by one, which takes ten times as long."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    flat, end = objects(column.flatten()), 0
+    return [None if n is None else flat[end : (end := end + n)] for n in pc.list_value_length(column).to_pylist()]
 
 
-@column_function(F.pandas_udf, "array<string>")
-def _split_commas(text: pd.Series) -> pd.Series:
-    return text.map(split_commas)
+def row_function(returns: str, made: pa.DataType) -> Callable[[Callable], Callable[..., Column]]:
+    """A function of one row's values as a column function, in Arrow batches."""
 
+    def wrap(function: Callable) -> Callable[..., Column]:
+        def run(*columns: pa.Array) -> pa.Array:
+            parts = ([objects(c.slice(at, PART_ROWS)) for c in columns] for at in range(0, len(columns[0]), PART_ROWS))
+            return pa.concat_arrays([pa.array([], made), *(pa.array(list(map(function, *part)), made) for part in parts)])
 
-@column_function(F.pandas_udf, "array<struct<plus:boolean,key:string,content:array<string>>>")
-def _rules(canon: pd.Series, literals: pd.Series, compounds: pd.Series) -> pd.Series:
-    out = []
-    for c, v, pairs in zip(canon, literals, compounds, strict=True):
-        every = list(v)
-        rules = [{"plus": True, "key": k, "content": list(w)} for k, w in vocabulary.plus_rules(c, every, set(() if pairs is None else pairs))]
-        out.append(rules + [{"plus": False, "key": k, "content": list(w)} for k, w in vocabulary.phrase_rules(c, every)])
-    return pd.Series(out)
+        return column_function(F.arrow_udf, returns)(run)
 
+    return wrap
 
-def variants_of(raw: DataFrame) -> DataFrame:
-    """(canon, variants, ord) of (canon, value, ord): what each canonical form is found as."""
-    grouped = raw.groupBy(F.lower("canon").alias("canon")).agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("v"), F.min("ord").alias("ord"))
-    return grouped.select("canon", _variants(F.col("v.value")).alias("variants"), "ord")
+
+@row_function("array<string>", STRINGS)
+def _variants(literals: list[str] | None) -> list[str]:
+    return vocabulary.variants(literals or ())
+
+
+@row_function("array<struct<n:int,text:string>>", pa.list_(pa.struct([("n", pa.int32()), ("text", pa.string())])))
+def _entries(canon: str, forms: list[str]) -> list[tuple[int, str]]:
+    return vocabulary.base_entries(canon, forms)
+
+
+@row_function("array<string>", STRINGS)
+def _split_commas(text: str) -> list[str]:
+    return split_commas(text)
+
+
+@row_function("array<struct<plus:boolean,key:string,content:array<string>>>", pa.list_(pa.struct([("plus", pa.bool_()), ("key", pa.string()), ("content", STRINGS)])))
+def _rules(canon: str, literals: list[str], compounds: list[str] | None) -> list[tuple[bool, str, tuple[str, ...]]]:
+    """A rule of plus signs is known by its key too; an ordinary one that repeats another's words is left out."""
+    plus = dict.fromkeys((True, k, w) for k, w in vocabulary.plus_rules(canon, literals, {canon, *(compounds or ())} if "_" in canon else set(compounds or ())))
+    ordinary: dict[tuple[str, ...], str] = {}
+    for k, w in vocabulary.phrase_rules(canon, literals):
+        ordinary.setdefault(w, k)
+    return [*plus, *((False, k, w) for w, k in ordinary.items())]
+
+
+def grouped(raw: DataFrame) -> DataFrame:
+    """(canon, literals, ord) of (canon, value, ord): the literals of each canonical form, in order."""
+    own = raw.groupBy("canon").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("v"), F.min("ord").alias("ord"))
+    return own.select("canon", F.col("v.value").alias("literals"), "ord")
+
+
+def variants_of(own: DataFrame) -> DataFrame:
+    """(canon, variants, ord) of `grouped` literals: what each canonical form is found as."""
+    return own.select("canon", _variants("literals").alias("variants"), "ord")
 
 
 def reversed_of(forward: DataFrame, live: bool = False) -> DataFrame:
@@ -68,21 +101,26 @@ def lookup_of(forward: DataFrame) -> DataFrame:
 
     A phrase of n words lies within an entry of n + 1 words if it is an end of one word, the words between as
     they are, and a beginning of another, one or two places in. All these are spelt out, some hundred for an
-    entry, and joined with the phrases as they are.
+    entry, and joined with the phrases as they are. A round reads entries of one length only, and what the rounds
+    before it made; lengths that no entry has need no round.
     """
     entries = forward.select(F.explode(_entries("canon", "variants")).alias("e")).select(F.col("e.n").alias("words"), F.col("e.text").alias("entry")).distinct()
-    entries = checkpointed(entries)
+    entries, made = checkpointed(entries), None
+    lengths = {n for (n,) in entries.where("words BETWEEN 3 AND 6").select("words").distinct().collect()}
     for n in (5, 4, 3, 2):
-        source = entries.where(F.col("words") == n + 1).withColumn("w", F.split("entry", " "))
+        if made is None and n + 1 not in lengths:
+            continue
+        source = entries.where(F.col("words") == n + 1)
+        source = (source if made is None else source.union(made.where(F.col("words") == n + 1)).distinct()).withColumn("w", F.split("entry", " "))
         gram = F.slice("w", 1, n)
         grams = source.where(~F.arrays_overlap(gram, F.array(*map(F.lit, sorted(vocabulary.GRAM_STOPS))))).select(F.array_join(gram, " ").alias("gram")).distinct()
         within = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda at: spellings(F.col("w"), at, n))))  # noqa: B023
         hits = source.select("entry", F.explode(within).alias("gram")).join(grams, "gram")
-        made = hits.select(F.replace("entry", "gram", F.replace("gram", F.lit(" "), F.lit("_"))).alias("entry"))
-        made = made.select(F.size(F.split("entry", " ")).alias("words"), "entry").where("words BETWEEN 2 AND 5")
-        # A round reads the one before it twice, so each is written down.
-        entries = checkpointed(entries.union(made).distinct()) if n > 2 else entries.union(made).distinct()
-    return entries
+        new = hits.select(F.replace("entry", "gram", F.replace("gram", F.lit(" "), F.lit("_"))).alias("entry"))
+        new = new.select(F.size(F.split("entry", " ")).alias("words"), "entry").where("words BETWEEN 2 AND 5")
+        # A round reads the ones before it twice, so each is written down.
+        made = checkpointed((new if made is None else made.union(new)).distinct()) if n > 2 else new if made is None else made.union(new)
+    return entries if made is None else entries.union(made).distinct()
 
 
 def spellings(words: Column, at: Column, n: int) -> Column:
@@ -98,21 +136,29 @@ def rules_of(raw: DataFrame, distance: int = 4, plus_only: bool = False, comma_l
     """(key, content, canon, distance, ord): span rules of (canon, value, ord)."""
     if comma_lists:
         raw = raw.withColumn("value", F.explode(_split_commas("value")))
-    own = raw.groupBy("canon").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("v"), F.min("ord").alias("ord")).select("canon", "ord", F.array_distinct("v.value").alias("literals"))
+    return spans_of(grouped(raw), distance, plus_only)
+
+
+def spans_of(own: DataFrame, distance: int = 4, plus_only: bool = False) -> DataFrame:
+    """`rules_of` literals that are grouped."""
+    own = own.withColumn("literals", F.array_distinct("literals"))
     keys = own.where(F.contains("canon", F.lit("_"))).select(F.col("canon").alias("pair"))
-    words = raw.select("canon", F.split("value", " ").alias("w")).where(F.size("w") > 1)
+    words = own.select("canon", F.explode("literals").alias("value")).select("canon", F.split("value", " ").alias("w")).where(F.size("w") > 1)
     pairs = words.select("canon", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit("_"), F.element_at("w", i + 1)))).alias("pair"))
+    # Most are the canonical form that they belong to, which is known to be one.
+    pairs = pairs.where("pair <> canon")
     compounds = pairs.join(keys, "pair", "left_semi").groupBy("canon").agg(F.collect_set("pair").alias("compounds"))
     rows = own.join(compounds, "canon", "left").select("canon", "ord", F.posexplode(_rules("canon", "literals", "compounds")).alias("pos", "r")).select("canon", "ord", "pos", "r.*")
     place = F.struct(F.when(F.col("plus"), 0).otherwise(1).alias("pass"), "ord", "pos")
-    # A rule of plus signs is known by its key too; an ordinary one that repeats another's words is left out.
-    first = F.min(F.struct(place.alias("at"), "key")).alias("f")
-    rules = rows.groupBy("plus", F.when(F.col("plus"), F.col("key")).alias("own"), "canon", "content").agg(first).select("plus", "canon", "content", "f.key", F.col("f.at").alias("ord"))
+    rules = rows.select("plus", "canon", "content", "key", place.alias("ord"))
     if plus_only:
         return rules.where("plus").select("key", "content", "canon", F.lit(distance).alias("distance"), "ord")
+    rules = checkpointed(rules)
     # Of keys that differ in white space at their ends only, the one that came last replaces the others.
     firsts = rules.groupBy("key").agg(F.min("ord").alias("first"))
-    last = firsts.groupBy(trimmed(F.col("key")).alias("trimmed")).agg(F.max_by("key", "first").alias("key"))
+    last = checkpointed(firsts.groupBy(trimmed(F.col("key")).alias("trimmed")).agg(F.max_by("key", "first").alias("key")))
+    # A few keys may have nearly all rules, which are not sent to one task each.
+    last = F.broadcast(last) if last.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else last
     return rules.join(last, "key").select(F.col("trimmed").alias("key"), "content", "canon", F.lit(distance).alias("distance"), "ord")
 
 
@@ -172,14 +218,20 @@ class Views:
         p = F.col("p")
         rows = self.triples.where(p.isin(RDFS + "label", RDFS + "seeAlso", SKOS + "altLabel") | (local(p) == "inflection"))
         rows = flattened(rows, "o", True, self.blanks).withColumn("canon", normal(local(F.col("s")))).where("o_value NOT IN ('', 'nil')")
-        return rows.groupBy("canon", F.col("o_value").alias("value")).agg(F.min(F.struct("ord", F.col("o_path").alias("path"))).alias("at")).select("canon", "value", F.col("at.ord").alias("ord"))
+        return rows.groupBy("canon", F.col("o_value").alias("value")).agg(F.min("ord").alias("ord"))
+
+    @cached_property
+    def _own(self) -> DataFrame:
+        """`raw` grouped and written once, for the tables that are made of it."""
+        return checkpointed(grouped(self.raw))
 
     @cached_property
     def forward(self) -> DataFrame:
-        raw = self.raw
-        if self.comma_lists:
-            raw = raw.select("canon", F.posexplode(_split_commas("value")).alias("pos", "value"), "ord").groupBy("canon", "value").agg(F.min("ord").alias("ord"))
-        return variants_of(raw)
+        """(canon, variants, ord), written once, as the ways back and the lookup are made of it too."""
+        if not self.comma_lists:
+            return checkpointed(variants_of(self._own))
+        split = self.raw.select("canon", F.explode(_split_commas("value")).alias("value"), "ord")
+        return checkpointed(variants_of(grouped(split.groupBy("canon", "value").agg(F.min("ord").alias("ord")))))
 
     @cached_property
     def back(self) -> DataFrame:
@@ -191,7 +243,7 @@ class Views:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return rules_of(self.raw, self.distance, comma_lists=self.comma_lists)
+        return rules_of(self.raw, self.distance, comma_lists=True) if self.comma_lists else spans_of(self._own, self.distance)
 
     @cached_property
     def _edges(self) -> DataFrame:

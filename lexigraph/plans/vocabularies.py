@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.rdf import OWL, RDF, RDFS, SKOS
-from .graph import facts
-from .storage import checkpointed
+from .graph import facts, stated
+from .storage import checkpointed, spread
 
 GEO, CAT, TRADE = "http://example.org/geo#", "http://example.org/cat#", "http://example.org/trade#"
 
@@ -72,6 +72,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples that grow with the data: suppliers below nations, customers as individuals of nations, and blank nodes."""
     region, nation, supplier, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier", "customer"))
+    # A file of one row group would be one task here, and one in each step that follows.
+    supplier, customer = spread(supplier.select("s_suppkey", "s_nationkey")), spread(customer.select("c_custkey", "c_nationkey"))
     iri = lambda kind, key: F.concat(F.lit(f"{TRADE}{kind}_"), F.col(key).cast("string"))
     said = lambda kind, key: F.concat(F.lit(f"{kind} "), F.col(key).cast("string"))
     r, n, s, c = iri("region", "r_regionkey"), iri("nation", "n_nationkey"), iri("supplier", "s_suppkey"), iri("customer", "c_custkey")
@@ -89,15 +91,10 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
         blank(facts(nation, b, RDF + "first", said("Mark", "n_nationkey"), "literal", no + 4), "s"),
         blank(facts(nation, b, RDF + "rest", d, "iri", no + 5), "s", "o"),
         blank(facts(nation, d, RDF + "first", iri("region", "n_regionkey"), "iri", no + 6), "s"),
-        facts(supplier, s, RDF + "type", F.lit(OWL + "Class"), "iri", so),
-        facts(supplier, s, RDFS + "label", said("supplier", "s_suppkey"), "literal", so + 1),
-        facts(supplier, s, RDFS + "subClassOf", iri("nation", "s_nationkey"), "iri", so + 2),
+        stated(supplier, s, so, (RDF + "type", F.lit(OWL + "Class"), "iri"), (RDFS + "label", said("supplier", "s_suppkey"), "literal"), (RDFS + "subClassOf", iri("nation", "s_nationkey"), "iri")),
         facts(up, s, TRADE + "implies", iri("region", "n_regionkey"), "iri", so + 3),
-        facts(supplier, s, TRADE + "uses", iri("nation", "s_nationkey"), "iri", so + 4),
-        facts(supplier, s, TRADE + "effects", said("Effect", "s_suppkey"), "literal", so + 5),
-        facts(customer, c, RDF + "type", F.lit(OWL + "NamedIndividual"), "iri", co),
-        facts(customer, c, RDF + "type", iri("nation", "c_nationkey"), "iri", co + 1),
-        facts(customer, c, RDFS + "label", said("customer", "c_custkey"), "literal", co + 2),
+        stated(supplier, s, so + 4, (TRADE + "uses", iri("nation", "s_nationkey"), "iri"), (TRADE + "effects", said("Effect", "s_suppkey"), "literal")),
+        stated(customer, c, co, (RDF + "type", F.lit(OWL + "NamedIndividual"), "iri"), (RDF + "type", iri("nation", "c_nationkey"), "iri"), (RDFS + "label", said("customer", "c_custkey"), "literal")),
     ])
 
 

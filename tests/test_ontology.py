@@ -3,12 +3,15 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigraph import cli
 from lexigraph.engine import Engine
 from lexigraph.errors import EngineError
 from lexigraph.operators.finder import Finder
+from lexigraph.plans import graph
 from lexigraph.plans.ontology import Ontology, external_synonyms, trie
+from lexigraph.plans.storage import checkpointed
 from lexigraph.plans.views import Views, rules_of
 
 PREFIX = "@prefix : <http://e/zoo#> . @prefix zoo: <http://e/zoo#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix skos: <http://www.w3.org/2004/02/skos/core#> ."
@@ -148,6 +151,41 @@ def test_spans_in_frames_match_functions(spark):
     assert got == sorted((k, tuple(r["content"]), r["canon"]) for k, rs in vocabulary.spans(raw).items() for r in rs)
 
 
+def test_views_are_made_in_pieces_of_like_size_and_written_once(spark, sf_dir, monkeypatch):
+    from lexigraph.functions import vocabulary
+    from lexigraph.plans import views
+    from lexigraph.plans.vocabularies import trade
+
+    customers = trade(spark, sf_dir).where("s LIKE '%customer_%'").groupBy(F.spark_partition_id()).count()
+    assert customers.count() >= spark.sparkContext.defaultParallelism  # was one for each kind of fact, as the file is one row group
+
+    written = []
+    monkeypatch.setattr(views, "checkpointed", lambda df: written.append(df.columns) or checkpointed(df))
+    table = lambda forward: spark.createDataFrame([(c, vs, i) for i, (c, vs) in enumerate(forward.items())], "canon string, variants array<string>, ord long")
+    answer = lambda forward: sorted((r["words"], r["entry"]) for r in views.lookup_of(table(forward)).collect())
+    two = {f"n_{i}": [f"n {i}"] for i in range(20)}
+    assert answer(two) == sorted((2, f"n {i}") for i in range(20)) and len(written) == 1  # was 4: all entries, once a round
+
+    long = {"x": ["a b c d e f", "a b c d", "a b", "a b c d e"], "y": ["b c d", "za b c q", "of b c d e", "q r s t u v w"], "z_a": ["a b c", "c d e f g", "a b a b", "e", ""]}
+    assert answer(long) == sorted((n, e) for n, es in vocabulary.lookup(long).items() for e in es)
+
+    raw = {"a_b": ["a b", "a_b c", "a b +q", "x+y", "x + y"], "c_d": ["a b c d", "c d", " c d"], "e": ["e a b", "e"]}
+    rows = [(c, v, i * 100 + k) for i, (c, vs) in enumerate(raw.items()) for k, v in enumerate(vs)]
+    written.clear()
+    got = views.rules_of(spark.createDataFrame(rows, "canon string, value string, ord long"))
+    assert "content" in written[0]  # was in none: rules were made anew to be grouped by their keys
+    assert sorted((r["key"], tuple(r["content"]), r["canon"]) for r in got.collect()) == sorted((k, tuple(r["content"]), r["canon"]) for k, rs in vocabulary.spans(raw).items() for r in rs)
+
+
+def test_white_space_of_columns_is_that_of_functions(spark):
+    from lexigraph.functions import text
+
+    odd = ["", " ", "a", "\u2028a b\x85\n", "\u3000\u00e9 \u00a0", "\u200ba\ufeff ", "\ud7ffx\U0001f600\x1c", "a\x00 ", *(f"{c}x{c}y{c}{c}" for c in text.SPACES)]
+    df = spark.createDataFrame([(s,) for s in odd], "s string").select("s", graph.trimmed(F.col("s")).alias("t"), graph.normal(F.upper("s"), collapse=True).alias("n"))
+    assert all(r["t"] == r["s"].strip(text.SPACES) == text.trim(r["s"]) and r["n"] == text.SPACE_RUN.sub(" ", text.trim(r["s"].upper().lower())) for r in df.collect())
+    assert all(text.norm(s, collapse=True) == text.SPACE_RUN.sub(" ", text.trim(s.lower())) for s in odd) and set(text.SPACES) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+
+
 def test_engine_envelopes(spark, tmp_path):
     e = Engine(spark)
     ask = lambda **q: e.request(json.dumps(q))
